@@ -27,6 +27,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _tasks(rows: int) -> int:
+    """Few files for few edges: a round's table has a file for each of so many rows."""
+    return max(4, -(-rows // 200_000))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
     """edges (u, v) of any orderable type -> (node, component), for every node of an edge.
 
@@ -41,7 +46,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, rounds:
         both = edges.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(edges.select(F.col("m").alias("a"), F.col("v").alias("b")))
         large = _star(both, small=False).distinct()
         after = _star(large.select(F.col("v").alias("a"), F.col("m").alias("b")), small=True).distinct()
-        edges = scratch.save(after, f"{name}-{k}")
+        edges = scratch.save(after.coalesce(_tasks(before[0])), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         now = _state(edges)
         if now == before:

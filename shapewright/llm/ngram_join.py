@@ -223,7 +223,8 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     cell = F.transform(others, lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
     cells = dealt.withColumn("at", F.explode(cell)).select("key", "least_id", "copies", "cluster", "at.i", "at.j", (F.col("own") == F.col("at.i")).alias("resident"))
     # the text of one document of each class that is in a cluster
-    texts = rows.join(cells.withColumnRenamed("least_id", "doc_id"), "doc_id")
+    # the texts are dealt by id whatever the number of cells, which grows with the input
+    texts = rows.join(cells.withColumnRenamed("least_id", "doc_id").hint("shuffle_hash"), "doc_id")
 
     def compared(batches):
         kind = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
