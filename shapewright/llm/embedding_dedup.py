@@ -63,13 +63,13 @@ def memberships(x: np.ndarray, centres: np.ndarray, chord: float) -> tuple[np.nd
 
 def _blocks(cells: DataFrame, block: int) -> DataFrame:
     """cells (label, cell, id, home, weight, embedding) -> one row for each block pair a row takes part in."""
-    sizes = cells.groupBy("label", "cell").agg(F.count("*").alias("n"))
-    parts = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    dealt = cells.join(sizes, ["label", "cell"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    # residents meet all blocks of members; members meet all blocks of residents
-    as_resident = F.when(F.col("home"), F.transform(others, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("resident")))).otherwise(F.array().cast("array<struct<i:int,j:int,resident:boolean>>"))
-    as_member = F.transform(others, lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(False).alias("resident")))
+    sizes = cells.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("at_home"))
+    parts = lambda n, most: F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("int")
+    dealt = cells.join(sizes, ["label", "cell"]).withColumns({"in_i": parts("at_home", block), "in_j": parts("n", 4 * block)})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    # residents meet all blocks of members; members meet all blocks of residents, which are fewer
+    as_resident = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("in_j") - 1), lambda j: F.struct(own("in_i").alias("i"), j.alias("j"), F.lit(True).alias("resident")))).otherwise(F.array().cast("array<struct<i:int,j:int,resident:boolean>>"))
+    as_member = F.when(F.col("at_home") > 0, F.transform(F.sequence(F.lit(0), F.col("in_i") - 1), lambda i: F.struct(i.alias("i"), own("in_j").alias("j"), F.lit(False).alias("resident")))).otherwise(F.array().cast("array<struct<i:int,j:int,resident:boolean>>"))
     return dealt.withColumn("at", F.explode(F.concat(as_resident, as_member))).select("label", "cell", "at.i", "at.j", "at.resident", "id", "weight", "embedding")
 
 
