@@ -1,0 +1 @@
+"""Shape validation of graph-shaped data on Spark DataFrames."""
