@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, utf8_buffers
 
 END = 2
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 _ENCODERS: dict = {}
 
 
@@ -46,14 +46,29 @@ class WordEncoder:
         if len(memo) > REMEMBERED:
             memo.clear()
         split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(memo))
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
+        new = set().union(*split).difference(memo)
+        # a chunk's ids follow from those of its stem: the rest is encoded once for all its forms
+        stems = {w: _stem(w) for w in new}
+        unknown = list({part for parts in stems.values() for part in parts}.difference(memo))
+        for i in range(0, len(unknown), 8192):
+            part = unknown[i : i + 8192]
             found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        memo.update([(w, b"".join(map(memo.__getitem__, parts))) for w, parts in stems.items()])
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
 
+def _stem(chunk: bytes) -> tuple[bytes, ...]:
+    """Parts of a chunk that are encoded apart: a mark after an ASCII letter or digit starts a token of
+    its own, and ASCII capitals are lowered anyway (where marks may combine with them, that is left
+    to the normalizer)."""
+    if chunk.isascii():
+        chunk = chunk.lower()
+    if len(chunk) > 1 and chunk[-1:] in b".,;:!?" and chunk[-2:-1].isalnum():
+        return chunk[:-1], chunk[-1:]
+    return (chunk,)
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
