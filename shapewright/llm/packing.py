@@ -23,6 +23,8 @@ from .common import table, utf8_buffers
 
 END = 2
 REMEMBERED = 1_000_000
+#: A character that is a token of its own beside blanks.
+SEPARATOR = "\x01"
 _ENCODERS: dict = {}
 
 
@@ -41,6 +43,24 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
 
+        alone = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = alone[0] if len(alone) == 1 else None
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these chunks. Many are encoded as one text, with a separator after each."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if self.separator is None or any(SEPARATOR in t for t in texts):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), 64):
+            ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join([*texts[i : i + 64], ""]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.separator).tolist()
+            whole, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(whole[4 * at : 4 * end])
+                at = end + 1
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         memo = self.memo
         if len(memo) > REMEMBERED:
@@ -50,10 +70,7 @@ class WordEncoder:
         # a chunk's ids follow from those of its stem: the rest is encoded once for all its forms
         stems = {w: _stem(w) for w in new}
         unknown = list({part for parts in stems.values() for part in parts}.difference(memo))
-        for i in range(0, len(unknown), 8192):
-            part = unknown[i : i + 8192]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        memo.update(zip(unknown, self._each(unknown), strict=True))
         memo.update([(w, b"".join(map(memo.__getitem__, parts))) for w, parts in stems.items()])
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
