@@ -22,7 +22,8 @@ class TripleGraph:
     predicate read the union. Class edges may be given; otherwise they are the graph's own.
     """
 
-    def __init__(self, spark: SparkSession, predicates: dict[str, Callable[[], DataFrame]], subclasses: Iterable[tuple[str, str]] | None = None, distinct: Iterable[str] = ()):
+    def __init__(self, spark: SparkSession, predicates: dict[str, Callable[[], DataFrame]], subclasses: Iterable[tuple[str, str]] | None = None, distinct: Iterable[str] = (), typed: Callable[[set[str]], DataFrame] | None = None):
+        self._typed = typed  # the instances (s) of classes, where the source knows better than by reading all types
         self.spark, self._predicates, self._distinct = spark, predicates, set(distinct)
         self._subclasses = None if subclasses is None else list(subclasses)
         self._closure: dict[str, set[str]] | None = None
@@ -74,6 +75,8 @@ class TripleGraph:
     def instances(self, names: Iterable[str]) -> DataFrame:
         """(s) of the classes' instances and those of their subclasses."""
         classes = sorted(set().union(*(self.subclasses(n) for n in names)))
+        if self._typed is not None:
+            return self._typed(set(classes))
         return self.pred(TYPE, repeated=True).where(F.col("o").isin([f"<{c}>" for c in classes])).select("s").distinct()
 
     # --- makers ---------------------------------------------------------------------------------
@@ -117,6 +120,5 @@ class TripleGraph:
         """The relational tables as a graph: each column a predicate (see MAPPING)."""
         from .relational import relational_predicates
 
-        predicates, subclasses, distinct = relational_predicates(spark, folder)
-        return cls(spark, predicates, subclasses, distinct)
+        return cls(spark, *relational_predicates(spark, folder))
 

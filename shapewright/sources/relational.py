@@ -57,9 +57,11 @@ def _object(column: str, kind: str) -> Column:
     return T.iri_col(f"{EX}{kind}/", value)
 
 
-def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, Callable[[], DataFrame]], list[tuple[str, str]], set[str]]:
-    """(predicates, subclass edges, predicates whose pairs are known to be distinct)."""
+def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, Callable[[], DataFrame]], list[tuple[str, str]], set[str], Callable[[set[str]], DataFrame]]:
+    """(predicates, subclass edges, predicates whose pairs are known to be distinct, instances of classes)."""
     parts: dict[str, list[tuple[str, Callable[[], DataFrame]]]] = {}
+    # (table, subject, class or start of its classes, column that ends their names)
+    types: list[tuple[str, Callable[[], Column], str, str | None]] = []
     subclasses = [(ex("Customer"), ex("Party")), (ex("Supplier"), ex("Party"))]
     read = lambda table: spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -71,8 +73,10 @@ def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, C
         subject = lambda kind=kind, keys=keys: _subject(kind, keys.split(",")).alias("s")
         if "{" in cls:
             start, column = cls.rstrip("}").split("{")
+            types.append((table, subject, ex(start), column))
             add(TYPE, table, lambda t=table, s=subject, x=start, c=column: read(t).select(s(), T.iri_col(EX + x, F.col(c)).alias("o")))
         elif cls != "-":
+            types.append((table, subject, ex(cls), None))
             add(TYPE, table, lambda t=table, s=subject, x=cls: read(t).select(s(), F.lit(f"<{ex(x)}>").alias("o")))
         for item in columns.split():
             column, of = item.split("=")
@@ -103,6 +107,20 @@ def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, C
 
         return make
 
+    def instances(classes: set[str]) -> DataFrame:
+        """Only the tables of these classes are read, and of a table with a class column only its matching rows."""
+        frames, repeated = [], False
+        for table, subject, start, column in types:
+            if column is None and start in classes:
+                frames.append(read(table).select(subject()))
+                repeated |= table not in keyed
+            elif column is not None and (ends := [c.removeprefix(start) for c in sorted(classes) if c.startswith(start)]):
+                frames.append(read(table).where(F.col(column).isin(ends)).select(subject()))
+        out = spark.createDataFrame([], "s string") if not frames else frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return (out.distinct() if repeated else out).where("s is not null")
+
     keyed = {"region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "pages", "benchmark", "embeddings"}
     distinct = {name for name, makers in parts.items() if len(makers) == 1 and makers[0][0] in keyed and name != ex("k")} | {REST, ex("lines")}
-    return {name: union(makers) for name, makers in parts.items()}, subclasses, distinct
+    return {name: union(makers) for name, makers in parts.items()}, subclasses, distinct, instances
