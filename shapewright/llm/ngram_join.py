@@ -269,9 +269,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays, once.
+    """Pipeline stage: of each class the document with the smallest id stays.
 
-    Documents with a null id stay where their class has no other and is one document alone.
+    Rows that repeat that document, with its id, stay with it. Rows with a null id can't be named
+    among those that go, so all of them stay.
     """
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     joined = similarity_join(rows)
