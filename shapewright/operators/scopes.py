@@ -12,7 +12,7 @@ from ..sources.graph import TripleGraph
 
 def scope_nodes(graph: TripleGraph, scope: Scope) -> DataFrame:
     """(this) of one scope; it may repeat."""
-    from ..plans.templates import REGISTRY, run_sql
+    from ..plans.templates import REGISTRY, run_query
 
     arg = scope.argument
     match scope.kind:
@@ -29,7 +29,7 @@ def scope_nodes(graph: TripleGraph, scope: Scope) -> DataFrame:
         case "allSubjects":
             return union([graph.pred(p, repeated=True).select(F.col("s").alias("this")) for p in graph.predicates])
         case "query":
-            return run_sql(graph, arg).select(F.col("scope").alias("this"))
+            return run_query(graph, arg).select(F.col("scope").alias("this"))
     if template := REGISTRY.scope(scope.kind):
         return template.nodes(graph, arg)
     raise ShapeSyntaxError(f"unknown scope {scope.kind}")

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.terms import str_of
 from ..operators import lists, nodes, pairs, scopes, sets
 from ..sources.graph import TripleGraph
 from . import templates
@@ -168,11 +169,13 @@ class Compiler:
         return union([*parts, ctx.rows(left.focus, "partition", "Partition not exhaustive")])
 
     def query(self, ctx: Context, text: str) -> DataFrame:
-        """Spark SQL over {focus}, {groups}, {triples} and a predicate's {p_<local name>}: this, and any report columns."""
-        found = templates.run_sql(self.graph, text, focus=ctx.focus, groups=ctx.groups)
+        """SPARQL, or Spark SQL over {focus}, {groups}, {triples} and a predicate's {p_<local name>}: this, and any report columns."""
+        found = templates.run_query(self.graph, text, focus=ctx.focus, groups=ctx.groups)
+        if templates.is_sparql(text):  # these report columns are plain text, not terms
+            found = found.withColumns({c: F.regexp_replace(str_of(F.col(c)), "^.*[/#]", "") if c == "severity" else str_of(F.col(c)) for c in ("severity", "message", "component") if c in found.columns})
         given = {c: F.col(c) for c in found.columns if c in REPORT and c not in ("parent", "this")}
         rows = found if "parent" in found.columns else found.join(ctx.focus, "this") if "this" in found.columns else found.select("*", F.lit(TOP).alias("parent"))
-        return ctx.rows(rows, "query", "found by the query", **given)
+        return ctx.rows(rows, given.pop("component", "query"), given.pop("message", "found by the query"), **given)
 
 
 def validate_shape(graph: TripleGraph, shape: Shape, program: Iterable[Shape] = (), detail: bool = True) -> DataFrame:

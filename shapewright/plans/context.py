@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graph import TripleGraph
-from .ast import SEVERITIES, Path
+from ..sources.sparql import run_sparql
+from ..sources.sparql_syntax import is_sparql
+from .ast import SEVERITIES, Path, Step
 
 REPORT = ("parent", "this", "source_shape", "child_shape", "subject", "predicate", "object", "severity", "component", "message")
 TOP = ""  # the parent of a scope's nodes: one group, as NULL would not join
@@ -68,11 +70,19 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def step_edges(graph: TripleGraph, step: Step) -> DataFrame:
+    """(s, o) of a step: a predicate's facts, or the distinct ?subject and ?object of a query."""
+    if not is_sparql(step.predicate):
+        return graph.pred(step.predicate)
+    found = run_sparql(graph, step.predicate).select(F.col("subject").alias("s"), F.col("object").alias("o"))
+    return found.where("s is not null and o is not null").distinct()
+
+
 def follow(graph: TripleGraph, nodes: DataFrame, along: Path, start: str = "this") -> DataFrame:
     """nodes with `value`, once for each value that the path leads to from `start`. Several steps may meet: made distinct."""
     out = nodes.withColumn("value", F.col(start))
     for step in along.steps:
         near, far = ("o", "s") if step.inverse else ("s", "o")
-        edges = graph.pred(step.predicate).select(F.col(near).alias("value"), F.col(far).alias("_next"))
+        edges = step_edges(graph, step).select(F.col(near).alias("value"), F.col(far).alias("_next"))
         out = out.join(edges, "value").drop("value").withColumnRenamed("_next", "value")
     return out.distinct() if len(along.steps) > 1 else out

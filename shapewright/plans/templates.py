@@ -3,7 +3,7 @@
 A template's SQL may name, in square brackets: an argument (as a SQL literal), "text" (the argument's
 text as it is), l(argument "separator") (a list), p(argument) (a path's triples joined from focus),
 s(argument) and c(path argument) (failing nodes of a shape argument, on the focus nodes or on what a
-path leads to). [[ and ]] stand for brackets. In braces: {focus}, {groups}, {triples}, {p_<local name>}.
+path leads to). [[ and ]] stand for brackets. A query may be SPARQL instead, with the variable ?this or ?scope. In braces: {focus}, {groups}, {triples}, {p_<local name>}.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import Term
+from ..functions.terms import Term, iri, literal
 from ..sources.graph import TripleGraph
+from ..sources.sparql import run_sparql
+from ..sources.sparql_syntax import is_sparql
 from .ast import Path, ShapeSyntaxError
 from .context import Context, follow
 
@@ -41,6 +43,20 @@ def run_sql(graph: TripleGraph, text: str, **frames: DataFrame) -> DataFrame:
     return graph.spark.sql(text, **{k: v for k, v in frames.items() if f"{{{k}}}" in text})
 
 
+def run_query(graph: TripleGraph, text: str, **frames: DataFrame) -> DataFrame:
+    """A query's rows, whether it is SPARQL or Spark SQL over {names}."""
+    return run_sparql(graph, text) if is_sparql(text) else run_sql(graph, text, **frames)
+
+
+def sparql_literal(value: object) -> str:
+    if not isinstance(value, Term):
+        value = iri(value) if isinstance(value, str) and re.match(r"\w+:", value) else literal(value)
+    if value.kind != "literal":
+        return value.key
+    text = re.sub(r'["\\\n\r]', lambda m: {"\n": "\\n", "\r": "\\r"}.get(m[0], "\\" + m[0]), value.lex)
+    return f'"{text}"' + value.key[value.key.rindex('"') + 1 :]
+
+
 def sql_literal(value: object) -> str:
     if isinstance(value, Term):
         value = value.key
@@ -92,7 +108,9 @@ class ComponentTemplate:
             sql = fill(self.query)
         else:
             raise ShapeSyntaxError(f"template {self.name} has no body")
-        found = run_sql(ctx.graph, sql, **frames)
+        found = run_query(ctx.graph, sql, **frames)
+        if is_sparql(sql):
+            found = found.select("this").distinct().join(ctx.focus, "this")
         return ctx.rows(found, self.name, message)
 
 
@@ -106,7 +124,7 @@ class ScopeTemplate:
 
     def nodes(self, graph: TripleGraph, given: object) -> DataFrame:
         values = ComponentTemplate(self.name, query="", arguments=self.arguments).bind(given)
-        return run_sql(graph, substitute(self.query, values, None, None, {})).select(F.col("scope").alias("this"))
+        return run_query(graph, substitute(self.query, values, None, None, {})).select(F.col("scope").alias("this"))
 
 
 def fill_message(message: str, values: dict[str, object]) -> str:
@@ -114,6 +132,8 @@ def fill_message(message: str, values: dict[str, object]) -> str:
 
 
 def substitute(sql: str, values: dict[str, object], compiler, ctx: Context | None, frames: dict[str, DataFrame]) -> str:
+    constant = sparql_literal if is_sparql(sql) else sql_literal
+
     def value(name: str) -> object:
         if name not in values:
             raise ShapeSyntaxError(f"no argument {name}")
@@ -129,11 +149,11 @@ def substitute(sql: str, values: dict[str, object], compiler, ctx: Context | Non
             return m[0][0]
         text = m[1].strip()
         if re.fullmatch(r"\w+", text):
-            return sql_literal(value(text))
+            return constant(value(text))
         if n := re.fullmatch(r'"(\w+)"', text):
             return str(value(n[1]))
         if n := re.fullmatch(r'l\((\w+)\s+"([^"]*)"\)', text):
-            return n[2].join(map(sql_literal, value(n[1])))
+            return n[2].join(map(constant, value(n[1])))
         if ctx is not None:
             if (n := re.fullmatch(r"p\((\w+)\)", text)) and isinstance(value(n[1]), Path):
                 return frame(follow(ctx.graph, ctx.focus, value(n[1])))
