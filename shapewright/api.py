@@ -12,8 +12,9 @@ from .plans.templates import REGISTRY, ComponentTemplate, ScopeTemplate
 from .sources.compact import parse_compact
 from .sources.graph import TripleGraph
 from .sources.shapes_graph import shapes_from_turtle, shapes_to_turtle
+from .sources.sparql import run_sparql
 
-__all__ = ["REGISTRY", "ComponentTemplate", "ScopeTemplate", "TripleGraph", "conforming", "details", "load_graph", "load_shapes", "parse_compact", "results", "shapes_from_turtle", "shapes_to_turtle", "summary", "validate", "validate_shape"]
+__all__ = ["REGISTRY", "ComponentTemplate", "ScopeTemplate", "TripleGraph", "conforming", "details", "load_graph", "load_shapes", "parse_compact", "results", "run_sparql", "shapes_from_turtle", "shapes_to_turtle", "summary", "validate", "validate_shape"]
 
 
 def load_graph(spark: SparkSession, location: str) -> TripleGraph:

@@ -15,6 +15,7 @@ from .sources.compact import parse_compact
 from .sources.graph import TripleGraph
 from .sources.relational import EX
 from .sources.shapes_graph import shapes_from_turtle, shapes_to_turtle
+from .sources.sparql import run_sparql
 
 PREFIX = {"": EX}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +227,48 @@ def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
 _register("u_compact_syntax", ORACLES["c_in"], _round_trip)
 
 
+# --- SPARQL --------------------------------------------------------------------------------------
+
+
+def sparql(name: str, text: str, columns: dict[str, str], sql: str) -> None:
+    """A SPARQL query over the whole graph."""
+    prologue = f"PREFIX : <{EX}> "
+    _register(name, sql, lambda spark, folder: run_sparql(TripleGraph.from_parquet(spark, folder), prologue + text).selectExpr(*[f"{c} as {n}" for n, c in columns.items()]))
+
+
+COUNT = f"cast({lexical('n')} as bigint)"
+sparql(
+    "q_optional_group",
+    "SELECT ?c (COUNT(DISTINCT ?o) AS ?n) { ?c a/rdfs:subClassOf* :Customer OPTIONAL { ?o :o_custkey ?c . ?o :o_orderstatus 'F' } } GROUP BY ?c HAVING (COUNT(DISTINCT ?o) < 5)",
+    {"c_custkey": number("c", "customer"), "n": COUNT},
+    "select c_custkey, count(distinct o_orderkey) n from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F' group by 1 having n < 5",
+)
+sparql(
+    "q_not_exists",
+    "SELECT ?c { ?c :c_acctbal ?b FILTER(?b > 0 && NOT EXISTS { ?o :o_custkey ?c ; :o_totalprice ?t FILTER(?t > ?b * 30) }) }",
+    {"c_custkey": number("c", "customer")},
+    "select c_custkey from customer where c_acctbal > 0 and not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > c_acctbal * 30)",
+)
+sparql(
+    "q_union_minus",
+    "SELECT DISTINCT ?n { { ?x :c_nationkey ?n } UNION { ?x :s_nationkey ?n } MINUS { ?n :n_regionkey/:r_name 'ASIA' } }",
+    {"nation": number("n", "nation")},
+    "select n_nationkey::bigint as nation from nation join region on n_regionkey = r_regionkey where r_name <> 'ASIA' and (n_nationkey in (select c_nationkey from customer) or n_nationkey in (select s_nationkey from supplier))",
+)
+built(
+    "q_path_step",
+    lambda: A.shape(A.prop_values(A.path(f"PREFIX : <{EX}> SELECT ?subject ?object {{ ?line :l_orderkey ?subject ; :l_suppkey/:s_nationkey ?object }}"), A.shape(A.max_count(3)))).scoped(A.scope_class(EX + "Order")),
+    key("o_orderkey", "order"),
+    "select l_orderkey as o_orderkey from lineitem join supplier on l_suppkey = s_suppkey group by 1 having count(distinct s_nationkey) > 3",
+)
+built(
+    "q_component",
+    lambda: A.shape(A.query(f"PREFIX : <{EX}> SELECT ?this {{ ?this :o_totalprice ?t ; :o_custkey/:c_acctbal ?b FILTER(?t > 3 * ?b) }}")).scoped(A.scope_class(EX + "Order")),
+    key("o_orderkey", "order"),
+    ORACLES["c_query"],
+)
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Every order has exactly one customer and a price of at least 0, that customer is known, and its lines ship in time."""
     program = """

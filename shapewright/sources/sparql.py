@@ -6,7 +6,7 @@ is NULL, and an expression's error too, so that Spark's three-valued logic is SP
 variable become a product, which Catalyst turns into a join where a FILTER relates them.
 
 Values are computed in three kinds: terms (canonical strings), numbers (integer or double) and booleans.
-Arithmetic other than +, - and * of integers is done in doubles. Not there: GRAPH, SERVICE, CONSTRUCT, dates' parts.
+Arithmetic on terms is done in doubles, and what it yields is compared as such. Not there: GRAPH, SERVICE, CONSTRUCT, dates' parts.
 """
 
 from __future__ import annotations
@@ -49,18 +49,25 @@ class _Rows:
 
 @dataclass(frozen=True)
 class _Value:
-    """kind: term, integer, double or boolean."""
+    """kind: term, integer, double, number (a double, an integer's value where `whole`) or boolean."""
 
     kind: str
     col: Column
+    whole: Column | None = None
+
+    @property
+    def numeric(self) -> bool:
+        return self.kind in ("integer", "double", "number")
 
 
 def _term(v: _Value) -> Column:
+    if v.kind == "number":
+        return F.when(v.whole, T.literal_col(v.col.cast("long"), T.XSD + "integer")).otherwise(T.literal_col(v.col, T.XSD + "double"))
     return v.col if v.kind == "term" else T.literal_col(v.col, T.XSD + v.kind)
 
 
 def _number(v: _Value) -> Column:
-    if v.kind in ("integer", "double"):
+    if v.numeric:
         return v.col.cast("double")
     if v.kind == "boolean":
         return F.lit(None).cast("double")
@@ -75,7 +82,7 @@ def _truth(v: _Value) -> Column:
     """The effective boolean value; of other terms NULL."""
     if v.kind == "boolean":
         return v.col
-    if v.kind != "term":
+    if v.numeric:
         return (v.col != 0) & ~F.isnan(v.col.cast("double"))
     kind, text, number = T.datatype_of(v.col), T.str_of(v.col), _number(v)
     plain = kind.isin(T.XSD + "string", T.RDF + "langString")
@@ -88,15 +95,27 @@ def _text(v: _Value) -> Column:
     return F.when(~T.is_blank(t), T.str_of(t))
 
 
+def _before(a: _Value, b: _Value, strict: bool) -> Column:
+    """a < b or a <= b; NULL if they can't be compared."""
+    if a.numeric or b.numeric:
+        n, m = _number(a), _number(b)
+        return F.when(F.isnan(n) | F.isnan(m), F.when(n.isNotNull() & m.isNotNull(), F.lit(False))).otherwise(n < m if strict else n <= m)
+    return (T.less_than if strict else T.less_or_equal)(_term(a), _term(b))
+
+
 def _string(c: Column) -> _Value:
     return _Value("term", T.literal_col(c, T.XSD + "string"))
 
 
 def _equal(a: _Value, b: _Value) -> Column:
     """Equal values; NULL for literals that can't be compared."""
+    if a.numeric or b.numeric:  # computed: compared as numbers, without the detour of a term's text
+        n, m = _number(a), _number(b)
+        other = b if a.numeric else a
+        text = T.datatype_of(other.col).isin(T.XSD + "string", T.RDF + "langString") if other.kind == "term" else F.lit(False)
+        unlike = F.when(~T.is_literal(other.col) | text, F.lit(False)) if other.kind == "term" else F.lit(None).cast("boolean")
+        return F.when(n.isNotNull() & m.isNotNull(), (n == m) & ~F.isnan(n)).when((n if a.numeric else m).isNotNull(), unlike)
     x, y = _term(a), _term(b)
-    if a.kind in ("integer", "double") and b.kind in ("integer", "double"):
-        return a.col == b.col
     both = T.is_literal(x) & T.is_literal(y)
     order = T.less_or_equal(x, y)
     text = lambda t: T.datatype_of(t).isin(T.XSD + "string", T.RDF + "langString")
@@ -476,7 +495,7 @@ class _Evaluator:
                 return flag(same if name == "=" else ~same)
             case "<" | "<=" | ">" | ">=":
                 a, b = v if name[0] == "<" else v[::-1]
-                return flag((T.less_than if len(name) == 1 else T.less_or_equal)(_term(a), _term(b)))
+                return flag(_before(a, b, len(name) == 1))
             case "IN":
                 return flag(reduce(Column.__or__, [_equal(v[0], x) for x in v[1:]], F.lit(False)))
             case "+" | "-" | "*" | "/":
@@ -551,9 +570,8 @@ class _Evaluator:
         result = apply[sign](x, y) if sign != "/" else F.try_divide(x, y)
         if sign == "/":
             return _Value("double", result)
-        whole = [T.datatype_of(_term(v)) == T.XSD + "integer" for v in (a, b)]
-        longs = [v.col if v.kind == "integer" else T.str_of(_term(v)).try_cast("long") for v in (a, b)]
-        return _Value("term", F.when(whole[0] & whole[1], T.literal_col(apply[sign](*longs), T.XSD + "integer")).otherwise(T.literal_col(result, T.XSD + "double")))
+        whole = [F.lit(v.kind == "integer") if v.kind in ("integer", "double") else v.whole if v.kind == "number" else T.datatype_of(_term(v)) == T.XSD + "integer" for v in (a, b)]
+        return _Value("number", result, whole[0] & whole[1])
 
     def cast(self, kind: str, v: _Value) -> _Value:
         text = _text(v)

@@ -8,7 +8,7 @@ import pytest
 from shapewright import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ("c_in", "c_class", "c_closed", "c_closed_inv", "c_equals", "c_less_than", "c_min_count", "c_max_count", "c_unique_lang", "c_list_structure", "c_list_elements", "c_or", "c_partition", "c_query", "s_all_objects", "s_class", "f_filter_multi", "f_multi_component", "p_mixed", "t_component_having", "t_component_pattern", "t_scope", "u_compact_syntax")
+NAMES = ("c_in", "c_class", "c_closed", "c_closed_inv", "c_equals", "c_less_than", "c_min_count", "c_max_count", "c_unique_lang", "c_list_structure", "c_list_elements", "c_or", "c_partition", "c_query", "s_all_objects", "s_class", "f_filter_multi", "f_multi_component", "p_mixed", "q_not_exists", "q_optional_group", "q_path_step", "q_union_minus", "t_component_having", "t_component_pattern", "t_scope", "u_compact_syntax")
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")

@@ -67,6 +67,8 @@ def ask(graph, text):
         ("SELECT ?s { ?s :age ?a FILTER(?a NOT IN (5, 'x')) }", [("b",), ("e",)]),
         ("SELECT DISTINCT ?k { ?s :knows [ :age ?k ] }", [("5",), ("7",), ("x",)]),
         ("SELECT (?a + 1 AS ?n) { :a :age ?a }", [("6",)]),
+        ("SELECT ?s { ?s :age ?a FILTER(?a * 2 >= 14 && STRLEN(STR(?a)) + 1 != 2) }", [("e",)]),
+        ("SELECT ?s { ?s :age ?a FILTER(!(?a + 1 = 'x')) }", [("a",), ("b",), ("e",)]),
         ("SELECT ?s { ?s :age ?a . ?t :name ?n FILTER(?s = ?t) }", [("a",), ("b",)]),
     ],
 )
