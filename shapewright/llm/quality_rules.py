@@ -1,8 +1,8 @@
 """Operator 1: base rules, and hashed n-gram log-likelihood ratio of trusted and raw multinomials.
 
-Only DataFrame expressions run here. Two passes over the texts: one counts hashed n-grams of all
-documents (and of the trusted ones among them) into a fixed number of buckets, one judges every
-document. Nothing but bucket counts is shuffled, and no text leaves its partition.
+Only DataFrame expressions run here. One pass over the texts counts hashed n-grams of all documents
+into a fixed number of buckets, one those of all trusted documents, one judges every document. Texts
+are shuffled once, by id, to meet the trusted ids; besides them only bucket counts are.
 """
 
 from __future__ import annotations
@@ -87,20 +87,25 @@ def hashed_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def ngram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float]:
-    """log(p_trusted / p_raw) of each bucket. trusted: doc_id of at most a few thousand documents.
+    """log(p_trusted / p_raw) of each bucket. trusted: any number of doc_ids.
 
-    Raw counts cover all documents; the trusted multinomial is drawn towards the raw one by as many
+    Raw counts cover all documents and trusted counts all of trusted's; the trusted multinomial is drawn towards the raw one by as many
     pseudo-counts as there are buckets, so without trusted documents every ratio is 0. Collected:
     one row per bucket.
     """
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good")).dropDuplicates(["doc_id"])), "doc_id", "left")
     pieces = F.col("_pieces")
-    rows = _with_pieces(flagged).select(F.coalesce("good", F.lit(0)).alias("good"), F.inline(F.arrays_zip(pieces.alias("a"), _tail(pieces, 1).alias("b"))))
     slot = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
     # the last piece has no pair
     both = F.when(F.col("b").isNull(), F.array(slot("a"))).otherwise(F.array(slot("a"), slot(F.struct("a", "b"))))
-    grams = rows.select("good", F.explode(both).alias("bucket"))
-    rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()
+
+    def counted(texts: DataFrame, good: int) -> DataFrame:
+        rows = _with_pieces(texts.select("text")).select(F.inline(F.arrays_zip(pieces.alias("a"), _tail(pieces, 1).alias("b"))))
+        return rows.select(F.explode(both).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).withColumn("good", F.lit(good))
+
+    # the ids grow with the input, so they are dealt with the texts and not broadcast
+    of_trusted = docs.select("doc_id", "text").join(trusted.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    grams = counted(docs, 0).unionByName(counted(of_trusted, 1))
+    rows = grams.groupBy("bucket").agg(F.sum(F.when(F.col("good") == 0, F.col("n")).otherwise(0)).alias("raw"), F.sum(F.col("n") * F.col("good")).alias("good")).collect()
     n_raw, n_good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
     ratios = [0.0] * buckets
     for r in rows:
@@ -134,10 +139,9 @@ def keep(judged: DataFrame) -> DataFrame:
     return judged.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0)).drop("_row")
 
 
-def trusted_ids(labels: DataFrame, rows: int = 4000) -> DataFrame:
-    """doc_ids labelled as good, at most `rows` of them: those whose ids hash lowest."""
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids labelled as good; an id whose labels disagree isn't."""
+    return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,20 @@ def test_quality_rules(spark, docs):
     assert quality_rules.quality_rules(docs.limit(0), trusted, 64).count() == 0
 
 
+def test_all_trusted_documents_are_counted(spark):
+    n = 4600
+    docs = spark.range(n).selectExpr("id as doc_id", "if(id % 2 = 0, 'even', 'odd') as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "if(id % 20 = 1, 0, 1) as quality").unionByName(spark.createDataFrame([(None, 1), (3, 0), (5, None), (2, 1)], "doc_id long, quality int"))
+    trusted = quality_rules.trusted_ids(labels)
+    want = {i for i in range(n) if i % 20 != 1 and i != 3}
+    assert len(want) > 4000 and {r["doc_id"] for r in trusted.collect()} == want and trusted.count() == len(want)
+    slots = {r["text"]: r["_grams"][0] for r in quality_rules.hashed_ngrams(docs.limit(2), 64).collect()}
+    ratios = quality_rules.ngram_ratios(docs, trusted, 64)
+    for rest, text in enumerate(("even", "odd")):
+        good = sum(i % 2 == rest for i in want)
+        assert math.isclose(ratios[slots[text]], math.log((good + 64 * 0.5) / (len(want) + 64) / 0.5), abs_tol=1e-4)
+
+
 def test_sharding(docs):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == docs.count()
