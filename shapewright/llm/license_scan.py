@@ -2,8 +2,9 @@
 
 A rule is a hand-written expression over a text's lower-cased words joined by single blanks, with a
 keyword that must be in the text (one Aho-Corasick pass finds all keywords), a label, a priority and
-a confidence. Overlapping detections are resolved by priority, and one that lies inside another of
-at least its priority is suppressed. The base phrases are found apart from the rules and always stand.
+a confidence. Of detections that read one place, the one of highest priority stands: one that lies
+inside a standing one, or overlaps it with the same label or in the license's name, is suppressed.
+Neighbours that share but a word like "license" both stand. The base phrases are found apart from the rules and always stand.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def signature_rules() -> list[Rule]:
         label, name, spdx = line.split(" | ")
         telling = [word for part, word in TELLING.items() if part in name]
         for form, priority, confidence, keywords in [*FORMS, *([(*FULL_NAME, tuple(telling))] if telling else [])]:
-            body = form.replace("NAME", f"(?:{name})").replace("SPDX", f"(?:{spdx})")
+            body = form.replace("NAME", f"(?P<name>{name})").replace("SPDX", f"(?P<name>{spdx})")
             rules.append(Rule(label, re.compile(rf"(?<![^ ]){body}(?![^ ])"), keywords, priority, confidence))
     return sorted(rules, key=lambda r: -r.priority)
 
@@ -134,15 +135,14 @@ class Scanner:
         """(start, end, rule) that stand, in joined words."""
         keys = {key for _, key in self.keywords.iter(text)}
         rules = {id(r): r for key in keys for r in self.by_keyword[key]}
-        found = [(m.start(), m.end(), r) for r in rules.values() for m in r.expression.finditer(text)]
-        # important first, then long, then early; a detection inside a standing one goes, and of those
-        # that overlap in part the first stands
-        found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
-        standing: list[tuple[int, int, Rule]] = []
-        for a, b, r in found:
-            if not any(a < y and x < b for x, y, _ in standing):
-                standing.append((a, b, r))
-        return sorted(standing, key=lambda d: d[:2])
+        found = [(m.span(), m.span("name"), r) for r in rules.values() for m in r.expression.finditer(text)]
+        # important first, then long, then early
+        found.sort(key=lambda d: (-d[2].priority, d[0][0] - d[0][1], d[0][0], d[2].label))
+        standing: list[tuple[tuple[int, int], tuple[int, int], Rule]] = []
+        for (a, b), (c, d), r in found:
+            if not any((x <= a and b <= y) or (a < y and x < b and r.label == q.label) or (c < v and u < d) for (x, y), (u, v), q in standing):
+                standing.append(((a, b), (c, d), r))
+        return sorted([(a, b, r) for (a, b), _, r in standing], key=lambda d: d[:2])
 
     def scan(self, data: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = data.translate(self.table).split()

@@ -199,6 +199,15 @@ def test_license_scan(docs):
     assert 200 <= len(license_scan.signature_rules()) <= 500
 
 
+def test_neighbouring_licenses_keep_their_labels():
+    scan = lambda t: license_scan.Scanner().scan(t.encode())[5]
+    assert scan("MIT license, ISC license") == "isc,mit"
+    assert scan("MIT license, ISC license, zlib license") == "isc,mit,zlib"
+    # several readings of one place are still one
+    assert scan("under the terms of the GNU Lesser General Public License version 3 license") == "lgpl-3"
+    assert scan("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 license") == "cc-by-nc-sa"
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 64), packing.Limits(64, 100, 10), packing.Limits(50, 1, 50)])
 def test_pack(limits):
     rng = random.Random(limits.segments)
