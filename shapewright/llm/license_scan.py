@@ -94,7 +94,8 @@ FORMS = (
 )
 FULL_NAME = (r"NAME", 15, 0.85)
 #: Names that are said of licenses only, so that they count without "license" beside them; the keyword of each.
-TELLING = {"public licen": "public", "creative commons": "creative", "cc by": "cc", "cc0": "cc", "documentation license": "documentation", "font license": "font", "database license": "database", "distribution license": "distribution", "unlicense": "unlicense", "apache": "apache", "rights reserved": "reserved"}
+#: Every alternative of such a name has one of these keywords; "gpl" is in lgpl and agpl too.
+TELLING = {"public licen": "public", "gpl": "gpl", "creative commons": "creative", "cc by": "cc", "cc0": "cc", "documentation license": "documentation", "font license": "font", "database license": "database", "distribution license": "distribution", "unlicense": "unlicense", "apache": "apache", "rights reserved": "reserved"}
 
 
 @dataclass(frozen=True)

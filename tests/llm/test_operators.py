@@ -208,6 +208,38 @@ def test_neighbouring_licenses_keep_their_labels():
     assert scan("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 license") == "cc-by-nc-sa"
 
 
+def written(parsed, rng):
+    """A random text that an expression without look-around matches."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "BRANCH":
+                out += written(rng.choice(arg[1]), rng)
+            case "SUBPATTERN":
+                out += written(arg[3], rng)
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += "".join(written(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+            case "IN":
+                kind, value = rng.choice(arg)
+                out += "a" if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else value[0])
+    return out
+
+
+def test_license_keywords_are_necessary():
+    rng = random.Random(9)
+    scanner = license_scan.Scanner()
+    for r in scanner.rules:
+        for _ in range(60):
+            text = written(re._parser.parse(r.expression.pattern), rng)
+            if r.expression.search(text):
+                assert any(k in text for k in r.keywords), (r.label, text)
+                assert scanner.detections(text)
+    labels = lambda t: scanner.scan(t.encode())[5]
+    assert [labels(t) for t in ("GNU GPL version 3", "GNU LGPL 2.1", "AGPL v3", "gnu gpl 2")] == ["gpl-3", "lgpl-2.1", "agpl-3", "gpl-2"]
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 64), packing.Limits(64, 100, 10), packing.Limits(50, 1, 50)])
 def test_pack(limits):
     rng = random.Random(limits.segments)
