@@ -201,30 +201,31 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, tolerance: float =
                     own = shingles(text)
                     keys.append(xxhash.xxh128_digest(text) if len(own) else None)
                     bands.append(band_values(minhashes(own)) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "bands"])
 
-    rows = docs.select("doc_id", "text")
-    schema = with_fields(rows.select("doc_id"), "key binary, bands array<bigint>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    schema = with_fields(rows.select("doc_id", "text_hash"), "key binary, bands array<bigint>")
     sketches = scratch.save(rows.mapInArrow(sketched, schema), "sketches")
     known = sketches.where("key is not null")
-    copies = scratch.save(known.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "copies")
+    copies = scratch.save(known.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.count("*").alias("copies")), "copies")
     # nodes of the candidate graph: 64 bits of the key; two classes with one number only widen a cluster
     node = F.xxhash64("key").alias("node")
     banded = known.select(node, F.explode("bands").alias("band"))
     tied = banded.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("other")).where("root != other").select("band", "root")
     ties = banded.join(tied, "band").where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct()
     clusters = connected_components(ties, scratch, "clusters").withColumnRenamed("component", "cluster")
-    members = scratch.save(copies.withColumn("node", node).join(clusters, "node").select("key", "least_id", "copies", "cluster"), "members")
+    members = scratch.save(copies.withColumn("node", node).join(clusters, "node").select("key", "least_id", "text_hash", "copies", "cluster"), "members")
     # a large cluster's blocks meet in cells (i, j), i <= j
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / block).cast("int")
     dealt = members.join(sizes, "cluster").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     cell = F.transform(others, lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    cells = dealt.withColumn("at", F.explode(cell)).select("key", "least_id", "copies", "cluster", "at.i", "at.j", (F.col("own") == F.col("at.i")).alias("resident"))
-    # the text of one document of each class that is in a cluster
-    # the texts are dealt by id whatever the number of cells, which grows with the input
-    texts = rows.join(cells.withColumnRenamed("least_id", "doc_id").hint("shuffle_hash"), "doc_id")
+    cells = dealt.withColumn("at", F.explode(cell)).select("key", "least_id", F.col("text_hash").alias("its_hash"), "copies", "cluster", "at.i", "at.j", (F.col("own") == F.col("at.i")).alias("resident"))
+    # the text of one document of each class that is in a cluster; without ids, equal texts are one row
+    one = rows.where("doc_id is not null").unionByName(rows.where("doc_id is null").dropDuplicates(["text"]))
+    # the texts are dealt by hash and id whatever the number of cells, which grows with the input
+    texts = one.join(cells.hint("shuffle_hash"), (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
 
     def compared(batches):
         kind = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])

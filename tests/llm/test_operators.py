@@ -316,6 +316,23 @@ def test_ngram_join(docs):
     assert fewest == sorted(fewest) and 0 < fewest[0] < 0.8 * ngram_join.STEP
 
 
+def test_ngram_join_compares_texts_without_ids(spark):
+    rng = random.Random(12)
+    w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    changed = lambda *ends: " ".join("x" + x if any(i in e for e in ends) else x for i, x in enumerate(w))
+    left, right = range(14), range(186, 200)
+    # 1 and 2 are linked through a text without an id only
+    rows = [(1, changed(left)), (2, changed(right)), (None, changed()), (None, changed()), (None, "y " + changed(left, right)), (None, " ".join(reversed(w))), (3, " ".join(reversed(w[1:])))]
+    sets, links, root = brute_links(rows)
+    assert 1 not in links[0] and {2, 3} <= set(links[0]) & set(links[1])
+    least = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    want = Counter((rows[i][0], least[root[i]], len(links[i])) for i in range(len(rows)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (256, 1):
+        got = ngram_join.similarity_join(docs, block=block).select("doc_id", "class_id", "n_links").collect()
+        assert Counter(map(tuple, got)) == want
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 8))
