@@ -1,15 +1,16 @@
 """Operator 5: toxicity by noisy-channel deobfuscation.
 
-Disguised stretches of a text (look-alike symbols among letters, letters said three times or more,
-single letters set apart) become character lattices: each observed symbol may stand for several
-letters, a run for one or two of its letter, a separator for nothing. Viterbi decoding under a
+Stretches of a text that may be disguised (look-alike symbols among letters or at a word's end, letters
+said twice or more, single letters set apart) become character lattices: each observed symbol may
+stand for several letters, a run for one or two of its letter, a separator for nothing. Viterbi decoding under a
 character trigram model of the whole corpus picks the reading, and the restored text is scored by
-learned words and word beginnings. A stretch without such symbols has one reading, itself, so it is
+learned words and word beginnings. A stretch without any of these has one reading, itself, so it is
 not decoded.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -24,7 +25,7 @@ from .language_id import SLOTS, letter_slots
 #: What a symbol may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = " .-_*"
-COST_LOOKALIKE, COST_KEPT, COST_RUN, COST_RUN_KEPT, COST_JOIN, COST_APART = 1.0, 14.0, 0.5, 3.0, 0.3, 2.5
+COST_LOOKALIKE, COST_KEPT, COST_RUN, COST_RUN_KEPT, COST_JOIN, COST_APART, COST_DOUBLE = 1.0, 14.0, 0.5, 3.0, 0.3, 2.5, 4.0
 REMEMBERED, AT_ONCE = 200_000, 1 << 18
 
 _L = r"[^\W\d_]"
@@ -32,6 +33,8 @@ _S = "[" + re.escape("".join(LOOKALIKES)) + "]"
 _ANY = rf"(?:{_L}|{_S})"
 SPACED = re.compile(rf"(?<!\w){_ANY}(?:[{re.escape(SEPARATORS)}]{_ANY}){{2,}}(?!\w)", re.IGNORECASE)  # s t u p i d
 SUSPECT = re.compile(rf"({_L})\1\1|{_L}{_S}+{_L}|^[^\w\s]*{_S}{_L}", re.IGNORECASE)  # stuuupid, st00pid, $tupid
+#: Look-alikes at a word's end, before sentence punctuation: ki11, a$$.
+AT_END = re.compile(rf"{_L}{_S}*[{re.escape(''.join(c for c in LOOKALIKES if c not in '!|'))}][\"')\]}}>.,;:?!|]*$", re.IGNORECASE)
 _EDGE = re.compile(r"^[\"'(\[{<]+|[\"')\]}>.,;:?!|]+$")
 
 
@@ -39,11 +42,12 @@ _KIND: list[np.ndarray] = []
 
 
 def suspect_stretches(text: str) -> list[tuple[int, int]]:
-    """Ascending stretches that may be disguised: blank-separated tokens with SUSPECT in them, and matches of SPACED."""
+    """Ascending stretches that may be disguised: blank-separated tokens with SUSPECT in them, matches of SPACED,
+    and, where they overlap none of these, tokens with AT_END or a doubled letter in them."""
     if not _KIND:
         kind = (letter_slots() > 0).astype(np.uint8)
         for c in LOOKALIKES:
-            kind[ord(c)] |= 2
+            kind[ord(c)] |= 2 if c in "!|" else 2 | 16
         for c in SEPARATORS:
             kind[ord(c)] |= 4
         for c in " \t\n\v\f\r":
@@ -63,6 +67,14 @@ def suspect_stretches(text: str) -> list[tuple[int, int]]:
     for a, b in zip((blanks[after - 1] + 1).tolist(), blanks[after].tolist(), strict=True):
         if SUSPECT.search(text[a:b]):
             found.append((a, b))
+    double = same & (kind[1:] & 1 > 0)
+    last = (kind[:-1] & 3 > 0) & (kind[1:] & 16 > 0)
+    weak = []
+    doubled = set(np.unique(np.searchsorted(blanks, np.flatnonzero(double), side="left")).tolist())
+    for k in sorted(doubled.union(np.searchsorted(blanks, np.flatnonzero(last), side="left").tolist())):
+        a, b = int(blanks[k - 1]) + 1, int(blanks[k])
+        if k in doubled or AT_END.search(text[a:b]):
+            weak.append((a, b))
     one, gap = kind & 3 > 0, kind & 4 > 0
     if len(points) >= 5:
         done = -1
@@ -76,7 +88,13 @@ def suspect_stretches(text: str) -> list[tuple[int, int]]:
         if a >= last:
             apart.append((a, b))
             last = b
-    return apart
+    starts, whole = [a for a, _ in apart], list(apart)
+    for a, b in weak:
+        i = bisect.bisect_left(starts, b)
+        if not i or apart[i - 1][1] <= a:
+            whole.append((a, b))
+    whole.sort()
+    return whole
 
 
 class CharacterModel:
@@ -136,8 +154,10 @@ class CharacterModel:
             if c.isalpha():
                 if n >= 3:
                     steps.append([(c, COST_RUN), (seen[i : i + 2], COST_RUN + 0.2), (seen[i : i + n], COST_RUN_KEPT)])
+                elif n == 2:  # most are said as they are written
+                    steps.append([(c, COST_DOUBLE), (seen[i : i + 2], 0.0)])
                 else:
-                    steps.extend([(x, 0.0)] for x in seen[i : i + n])
+                    steps.append([(c, 0.0)])
             else:
                 for x in seen[i : i + n]:
                     if apart and x in SEPARATORS:

@@ -177,6 +177,19 @@ def test_toxicity():
     assert toxicity.distinct_texts([clean[0], clean[0] + " on", clean[1], ""]) == [0, 2, 3]
 
 
+def test_toxicity_reads_ends_and_doubles():
+    texts = ["then kill on", "then stupid on", "then moron on", "hate there", "an ass then", "letter on"] * 50
+    counts = np.zeros(language_id.SLOTS**3, np.int64)
+    for t in texts:
+        code = np.concatenate(([0, 0], language_id.letter_slots()[[ord(c) for c in t]].astype(int), [0]))
+        np.add.at(counts, (code[:-2] * 64 + code[1:-1]) * 64 + code[2:], 1)
+    model = toxicity.CharacterModel(counts)
+    assert model.restore(["then ki11, on", "hat3.", "an a$$!", "stuupid moroon"]) == ["then kill, on", "hate.", "an ass!", "stupid moron"]
+    assert model.restore(["letter then!", "s t u p i d", "12 on", ""]) == ["letter then!", "stupid", "12 on", ""]
+    # a stretch of single letters stays whole beside a doubled one
+    assert toxicity.suspect_stretches("letter-s-t-u-p-i-d on") == [(7, 18)]
+
+
 def test_license_scan(docs):
     def base(text):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
