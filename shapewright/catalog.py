@@ -177,6 +177,9 @@ built("s_prop_subject", lambda: A.shape(FALSE).scoped(A.scope_subjects(EX + "qua
 SMALL = ("r_name", "n_name", "n_regionkey")
 built("s_all_objects", lambda: A.shape(FALSE).scoped(A.ALL_OBJECTS), {"v": f"regexp_replace({local('this')}, '^region/', 'r')"}, "select 'Region' v union select 'Nation' union select r_name from region union select n_name from nation union select 'r' || n_regionkey from nation", distinct=False, only=SMALL)
 built("s_all_subjects", lambda: A.shape(FALSE).scoped(A.ALL_SUBJECTS), {"v": f"regexp_replace({local('this')}, '^(.)[a-z]*/', '$1')"}, "select 'r' || r_regionkey v from region union all select 'n' || n_nationkey from nation", distinct=False, only=SMALL)
+# the whole graph, each node once; no SQL, as the tests hold them against brute force
+built("s_all_objects_whole", lambda: A.shape(FALSE).scoped(A.ALL_OBJECTS), {"v": "this"}, "", distinct=False)
+built("s_all_subjects_whole", lambda: A.shape(FALSE).scoped(A.ALL_SUBJECTS), {"v": "this"}, "", distinct=False)
 built("s_query", lambda: A.shape(FALSE).scoped(A.scope_query(f"select s as scope from {{p_c_nationkey}} where o = '<{EX}nation/3>'")), key("c_custkey", "customer"), "select c_custkey from customer where c_nationkey = 3", distinct=False)
 built("s_union", lambda: A.shape(FALSE).scoped(A.scope_class(EX + "Supplier"), A.scope_subjects(EX + "s_nationkey")), key("s_suppkey", "supplier"), "select s_suppkey from supplier", distinct=False)
 # --- filters, severity, several components ----------------------------------------------------------

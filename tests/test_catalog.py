@@ -22,3 +22,24 @@ def test_matches_sql(spark, name):
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_all_subjects_and_objects_of_the_whole_graph(spark):
+    from shapewright.sources.graph import TripleGraph
+    from shapewright.sources.relational import EX, MAPPING
+
+    con = duckdb.connect()
+    subjects = set()
+    for line in MAPPING.strip().splitlines():
+        table, kind, keys = [x.strip() for x in line.split(" | ")][:3]
+        rows = con.execute(f"select {keys} from '{FOLDER}/{table}.parquet'").fetchall()
+        subjects |= {f"<{EX}{kind}/{'-'.join(map(str, r))}>" for r in rows if None not in r}
+    subjects |= {f"<{EX}cell/{a}-{b}>" for a, b in con.execute(f"select l_orderkey, l_linenumber from '{FOLDER}/lineitem.parquet'").fetchall()}
+    subjects |= {f"_:p{e}" for (e,) in con.execute(f"select event_id from '{FOLDER}/events.parquet' where props is not null").fetchall()}
+    got = [r["v"] for r in catalog.QUERIES["s_all_subjects_whole"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == subjects
+    got = [r["v"] for r in catalog.QUERIES["s_all_objects_whole"](spark, FOLDER).collect()]
+    facts = {r["o"] for r in TripleGraph.from_parquet(spark, FOLDER).all().select("o").collect()}
+    assert len(got) == len(set(got)) and set(got) == facts
+    assert {f"<{EX}order/{k}>" for (k,) in con.execute(f"select l_orderkey from '{FOLDER}/lineitem.parquet'").fetchall()} <= facts
