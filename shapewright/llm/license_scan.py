@@ -92,6 +92,59 @@ FORMS = (
     (r"(?:license|licence)(?: is)?(?: the)? NAME(?: license)?", 20, 0.8, ("licen",)),
     (r"NAME license(?: agreement)?", 10, 0.6, ("licen",)),
 )
+# label | short or unversioned name, as FAMILIES
+SHORT = r"""
+gpl-1 | gpl(?: license)?(?: version| ?v)? ?1(?: 0)? | gpl 1 0
+gpl-2 | gpl(?: license)?(?: version| ?v)? ?2(?: 0)?(?! 1) | gpl 2 0
+gpl-3 | gpl(?: license)?(?: version| ?v)? ?3(?: 0)? | gpl 3 0
+lgpl-2 | lgpl(?: license)?(?: version| ?v)? ?2(?: 0)?(?! 1) | lgpl 2 0
+lgpl-2.1 | lgpl(?: license)?(?: version| ?v)? ?2 1 | lgpl 2 1
+lgpl-3 | lgpl(?: license)?(?: version| ?v)? ?3(?: 0)? | lgpl 3 0
+agpl-3 | agpl(?: license)?(?: version| ?v)? ?3(?: 0)? | agpl 3 0
+gpl | (?:gnu )?(?:(?<!lesser )(?<!library )(?<!affero )(?<!gnu )general public license|gnu general public license|gpl(?: license)?)(?!(?: version| ?v)? ?[123](?: |$)) | gpl
+lgpl | (?:gnu )?(?:(?:lesser|library) general public license|lgpl(?: license)?)(?!(?: version| ?v)? ?[23](?: |$)) | lgpl
+agpl | (?:gnu )?(?:affero general public license|agpl(?: license)?)(?!(?: version| ?v)? ?3(?: |$)) | agpl
+bsd | bsd(?: style)?(?! [0234] clause| zero clause) | bsd
+apache | apache(?: software)? license(?!(?: version| v)? ?[12](?: |$)) | apache
+mpl-2 | mpl(?: version| ?v)? ?2(?: 0)? | mpl 2 0
+epl-2 | epl(?: version| ?v)? ?2(?: 0)? | epl 2 0
+"""
+_BSD, _TAIL = "redistribution and use in source and binary forms", "(?:(?! redistribution and use in source).){0,2500}?"
+_FREE = "permission is hereby granted free of charge to any person"
+_ISC = "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"
+# label | wording of a license or notice, an expression | keyword in it
+BODIES = rf"""
+mit | {_FREE} obtaining a copy of this software and associated documentation files(?: the software)? to deal in the software | granted free of charge
+ncsa | {_FREE} obtaining a copy of this software and associated documentation files(?: the software)? to deal with the software | granted free of charge
+bsl-1 | {_FREE} or organization obtaining a copy of the software and accompanying documentation | granted free of charge
+isc | {_ISC} provided that the above copyright notice and this permission notice appear in all copies(?!.{{0,900}}the name of a copyright holder shall not) | with or without fee
+curl | {_ISC} provided that the above copyright notice and this permission notice appear in all copies(?=.{{0,900}}the name of a copyright holder shall not) | with or without fee
+0bsd | {_ISC}(?! provided) | with or without fee
+bsd-4-clause | {_BSD}(?={_TAIL} all advertising materials mentioning features)(?!{_TAIL} may not be called) | redistribution and use
+bsd-3-clause | {_BSD}(?={_TAIL} (?:neither the name|may not be used to endorse))(?!{_TAIL} (?:all advertising materials mentioning|may not be called)) | redistribution and use
+bsd-2-clause | {_BSD}(?={_TAIL} redistributions in binary form must reproduce)(?!{_TAIL} (?:all advertising materials mentioning|may not be called|neither the name|used to endorse)) | redistribution and use
+bsd | {_BSD}(?!{_TAIL} (?:redistributions in binary form must reproduce|neither the name|all advertising materials mentioning|may not be called|used to endorse)) | redistribution and use
+apache-1.1 | {_BSD}(?={_TAIL} may not be called apache) | redistribution and use
+php-3 | {_BSD}(?={_TAIL} may not be called php) | redistribution and use
+openssl | {_BSD}(?={_TAIL} may not be called openssl) | redistribution and use
+apache-2 | apache org licenses license 2 0 | apache
+apache-2 | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license | contributor
+mpl-2 | each contributor hereby grants you a world wide royalty free non exclusive license | contributor
+gpl-2 | gnu general public license as published by the free software foundation(?: either)? version 2 | free software foundation
+gpl-3 | gnu general public license as published by the free software foundation(?: either)? version 3 | free software foundation
+lgpl-2 | gnu (?:library|lesser) general public license as published by the free software foundation(?: either)? version 2(?! 1) | free software foundation
+lgpl-2.1 | gnu lesser general public license as published by the free software foundation(?: either)? version 2 1 | free software foundation
+lgpl-3 | gnu lesser general public license as published by the free software foundation(?: either)? version 3 | free software foundation
+agpl-3 | gnu affero general public license as published by the free software foundation(?: either)? version 3 | free software foundation
+gpl-3 | the gnu general public license is a free copyleft license for software and other kinds of works | copyleft
+agpl-3 | the gnu affero general public license is a free copyleft license for software and other kinds of works | copyleft
+unlicense | this is free and unencumbered software released into the public domain | unencumbered
+zlib | in no event will the authors be held liable for any damages arising from the use of this software | held liable
+wtfpl | you just do what the f\w+ you want to | you just do what
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement | without a written agreement
+x11 | the name of the x consortium shall not be used | x consortium
+python-2 | psf is making python available to licensee | psf
+"""
 FULL_NAME = (r"NAME", 15, 0.85)
 #: Names that are said of licenses only, so that they count without "license" beside them; the keyword of each.
 #: Every alternative of such a name has one of these keywords; "gpl" is in lgpl and agpl too.
@@ -108,14 +161,19 @@ class Rule:
 
 
 def signature_rules() -> list[Rule]:
-    """Every family in every form: about 300 rules, most important first."""
+    """Every family and short name in every form, and the wordings: about 400 rules, most important first."""
     rules = []
-    for line in FAMILIES.strip().splitlines():
+    for line in (FAMILIES + SHORT).strip().splitlines():
+        if not line:
+            continue
         label, name, spdx = line.split(" | ")
         telling = [word for part, word in TELLING.items() if part in name]
         for form, priority, confidence, keywords in [*FORMS, *([(*FULL_NAME, tuple(telling))] if telling else [])]:
             body = form.replace("NAME", f"(?P<name>{name})").replace("SPDX", f"(?P<name>{spdx})")
             rules.append(Rule(label, re.compile(rf"(?<![^ ]){body}(?![^ ])"), keywords, priority, confidence))
+    for line in BODIES.strip().splitlines():
+        label, wording, keyword = line.split(" | ")
+        rules.append(Rule(label, re.compile(rf"(?<![^ ])(?P<name>{wording})(?![^ ])"), (keyword,), 45, 0.95))
     return sorted(rules, key=lambda r: -r.priority)
 
 

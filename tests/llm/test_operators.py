@@ -221,6 +221,30 @@ def test_neighbouring_licenses_keep_their_labels():
     assert scan("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 license") == "cc-by-nc-sa"
 
 
+def test_license_wordings_and_short_names():
+    scan = lambda t: license_scan.Scanner().scan(t.encode())[5]
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions in binary form must reproduce the above copyright notice. "
+    for text, label in (
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "mit"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+        (bsd, "bsd-2-clause"),
+        (bsd + "Neither the name of the holder nor others", "bsd-3-clause"),
+        (bsd + "All advertising materials mentioning features or use. Neither the name", "bsd-4-clause"),
+        (bsd + "x " * 50 + bsd + "Neither the name of", "bsd-2-clause,bsd-3-clause"),
+        ("licensed under the GPL v3", "gpl-3"),
+        ("GPLv3", "gpl-3"),
+        ("GNU General Public License", "gpl"),
+        ("under the GNU Lesser General Public License", "lgpl"),
+        ("GNU LGPL 2.1", "lgpl-2.1"),
+        ("the BSD license", "bsd"),
+        ("the BSD 3-Clause license", "bsd-3-clause"),
+        ("the Apache License", "apache"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2"),
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+    ):
+        assert scan(text) == label, text
+
+
 def written(parsed, rng):
     """A random text that an expression without look-around matches."""
     out = ""
