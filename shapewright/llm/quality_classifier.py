@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from .common import fold, labelled_sample, slices, table, utf8_buffers, with_fields
 
 AT_ONCE = 1 << 19
+LENGTHS = (2, 3, 4)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -31,59 +32,100 @@ def _bucket(h: np.ndarray, kind: int, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def ngram_buckets(data: np.ndarray, bits: int, lengths: tuple[int, ...] = (2, 3, 4), text_ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket, place of its first byte) of all n-grams in these bytes: one text, or texts with these ends.
+def _word_sums(points: np.ndarray, blank: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words among these bytes; of the word at their beginning `known` bytes came before.
 
-    Word n-grams come first; the third result is their number.
-
-    Word 1-grams, word 2-grams (one bucket for all pairs of equal words), and the n-grams of bytes
-    within words and their following blank.
+    A word's hash adds up its bytes' numbers times odd powers of their place in it.
     """
-    size = len(data)
-    blank = _BLANK[data]
-    points = _RANDOM[data]
-    found, places = [], []
-    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1]))) if size else np.zeros(0, np.int64)
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    if not len(starts):
+        return starts, starts, np.zeros(0, np.uint64)
+    ends = np.flatnonzero(~blank & np.concatenate((blank[1:], [True]))) + 1
+    first = np.repeat(starts, ends - starts)
+    chars = np.flatnonzero(~blank)
+    rank = (chars - first).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        if known and starts[0] == 0:
+            rank[: ends[0]] += np.uint64(known)
+        value = points[chars] * (_MIX * (rank * np.uint64(2) + np.uint64(1)) ^ (rank << np.uint64(17)) | np.uint64(1))
+        value ^= value >> np.uint64(31)
+    return starts, ends, np.add.reduceat(value, np.concatenate(([0], np.cumsum(ends - starts)[:-1])))
+
+
+def _word_buckets(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of words and of pairs of neighbouring words (one bucket for all pairs of equal words)."""
+    a, b = words[:-1], words[1:]
     with np.errstate(over="ignore"):
-        if len(starts):
-            ends = np.flatnonzero(~blank & np.concatenate((blank[1:], [True]))) + 1
-            # a word's hash: its bytes' numbers times odd powers of their place in it
-            inside = np.arange(size, dtype=np.int64)
-            first = np.repeat(starts, ends - starts)
-            chars = np.flatnonzero(~blank)
-            rank = (inside[chars] - first).astype(np.uint64)
-            value = points[chars] * (_MIX * (rank * np.uint64(2) + np.uint64(1)) ^ (rank << np.uint64(17)) | np.uint64(1))
-            value ^= value >> np.uint64(31)
-            at = np.concatenate(([0], np.cumsum(ends - starts)[:-1]))
-            words = np.add.reduceat(value, at)
-            found.append(_bucket(words, 1, bits))
-            places.append(starts)
-            a, b = words[:-1], words[1:]
-            pairs, left = np.where(a == b, np.int32(0), _bucket(a * np.uint64(3) + b * _MIX, 2, bits)), starts[:-1]
-            if text_ends is not None:
-                text = np.searchsorted(text_ends, starts, side="right")
-                one = text[:-1] == text[1:]
-                pairs, left = pairs[one], left[one]
-            found.append(pairs)
-            places.append(left)
-        n_words = sum(map(len, found))
-        rolling = points.copy()
-        for n in range(2, max(lengths) + 1):
-            if size < n:
-                break
+        pairs = np.where(a == b, np.int32(0), _bucket(a * np.uint64(3) + b * _MIX, 2, bits))
+    return _bucket(words, 1, bits), pairs
+
+
+def _char_buckets(points: np.ndarray, blank: np.ndarray, bits: int, seen: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(buckets, places of first bytes) of the n-grams of each length that end behind the first `seen` bytes."""
+    found, places = [], []
+    rolling = points.copy()
+    for n in range(2, max(LENGTHS) + 1):
+        if len(points) < n:
+            break
+        with np.errstate(over="ignore"):
             rolling = rolling[:-1] * _MIX + points[n - 1 :]
             rolling ^= rolling >> np.uint64(32)
-            if n in lengths:
-                # an n-gram may end with one blank, but none stands before its end
-                ok = ~blank[: size - n + 1]
-                for k in range(1, n - 1):
-                    ok &= ~blank[k : size - n + 1 + k]
-                keep = np.flatnonzero(ok)
-                found.append(_bucket(rolling[keep], 2 + n, bits))
-                places.append(keep)
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), 0
-    return np.concatenate(found), np.concatenate(places), n_words
+        if n in LENGTHS:
+            # an n-gram may end with one blank, but none stands before its end
+            ok = ~blank[: len(points) - n + 1]
+            for k in range(1, n - 1):
+                ok &= ~blank[k : len(points) - n + 1 + k]
+            ok[: max(0, seen - n + 1)] = False
+            keep = np.flatnonzero(ok)
+            found.append(_bucket(rolling[keep], 2 + n, bits))
+            places.append(keep)
+    return found, places
+
+
+def text_ngrams(part: np.ndarray, bits: int, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets of word n-grams, buckets of character n-grams) of one text, at_once bytes at a time.
+
+    Words and n-grams that go on over the end of a piece are carried into the next: it makes no
+    difference to what is found where the pieces end.
+    """
+    known, begun, before = 0, np.uint64(0), None  # an unfinished word's length and hash so far, the word before
+    for at in range(0, len(part) + 1, at_once):
+        piece = part[at : at + at_once]
+        if at + at_once > len(part):
+            piece = np.concatenate((piece, np.full(1, 10, np.uint8)))  # a blank ends the text
+        blank, points = _BLANK[piece], _RANDOM[piece]
+        starts, ends, words = _word_sums(points, blank, known)
+        if known:
+            with np.errstate(over="ignore"):
+                if len(starts) and starts[0] == 0:
+                    words[0] += begun
+                else:
+                    words = np.concatenate((np.full(1, begun, np.uint64), words))
+        if not blank[-1]:  # the last word goes on
+            known = int(ends[-1] - starts[-1]) + (known if starts[-1] == 0 else 0)
+            begun, words = words[-1], words[:-1]
+        else:
+            known, begun = 0, np.uint64(0)
+        # the word before the first is there for its pair only
+        ones, pairs = _word_buckets(words if before is None else np.concatenate(([before], words)), bits)
+        if before is not None:
+            ones = ones[1:]
+        if len(words):
+            before = words[-1]
+        lead = part[max(0, at - max(LENGTHS) + 1) : at]
+        chars, _ = _char_buckets(np.concatenate((_RANDOM[lead], points)), np.concatenate((_BLANK[lead], blank)), bits, len(lead))
+        yield np.concatenate((ones, pairs)), np.concatenate([np.zeros(0, np.int32), *chars])
+
+
+def ngram_weights(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights) of a text: half the weight is spread over its word n-grams, half over its character n-grams."""
+    counts = np.zeros((2, 1 << bits), np.int64)
+    for words, chars in text_ngrams(np.frombuffer(text, np.uint8), bits):
+        counts[0] += np.bincount(words, minlength=1 << bits)
+        counts[1] += np.bincount(chars, minlength=1 << bits)
+    weights = (counts * 0.5 / np.maximum(counts.sum(1, keepdims=True), 1)).sum(0)
+    seen = np.flatnonzero(weights)
+    return seen, weights[seen].astype(np.float32)
 
 
 def train(texts: list[bytes], labels: list[int], bits: int = 18, dimensions: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 11) -> np.ndarray:
@@ -97,11 +139,9 @@ def train(texts: list[bytes], labels: list[int], bits: int = 18, dimensions: int
     rng = np.random.default_rng(seed)
     examples = []
     for text, label in zip(texts, labels, strict=True):
-        grams, _, n = _many([np.frombuffer(text, np.uint8)], bits)
-        if len(grams):
-            seen, place = np.unique(grams, return_inverse=True)
-            share = np.repeat([0.5 / max(n, 1), 0.5 / max(len(grams) - n, 1)], [n, len(grams) - n])
-            examples.append((seen, np.bincount(place, share).astype(np.float32), label))
+        seen, weights = ngram_weights(text, bits)
+        if len(seen):
+            examples.append((seen, weights, label))
     vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (1 << bits, dimensions)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, (2, dimensions)).astype(np.float32), np.zeros(2, np.float32)
     share = np.bincount([y for *_, y in examples], minlength=2) / max(1, len(examples))
@@ -126,23 +166,22 @@ def train(texts: list[bytes], labels: list[int], bits: int = 18, dimensions: int
     return (vectors @ difference + (bias[1] - bias[0])).astype(np.float32)
 
 
-def text_scores(offsets: np.ndarray, data: np.ndarray, contribution: np.ndarray, bits: int, empty: float) -> np.ndarray:
-    """Scores of the texts between these offsets. Texts are hashed many at a time, long ones in parts."""
+def text_scores(offsets: np.ndarray, data: np.ndarray, contribution: np.ndarray, bits: int, empty: float, at_once: int = AT_ONCE) -> np.ndarray:
+    """Scores of the texts between these offsets. Texts are hashed many at a time, long ones in connected pieces."""
     n = len(offsets) - 1
     sums, counts = np.zeros((2, n)), np.zeros((2, n), np.int64)  # of word n-grams, of character n-grams
-
-    def add(first: int, many: int, grams: np.ndarray, owner: np.ndarray, words: int) -> None:
+    worth = contribution.astype(np.float64)
+    for i, j in slices(np.diff(offsets), at_once):
+        if j == i + 1 and offsets[j] - offsets[i] > at_once:
+            for kinds in text_ngrams(data[offsets[i] : offsets[j]], bits, at_once):
+                for group, grams in enumerate(kinds):
+                    sums[group, i] += worth[grams].sum()
+                    counts[group, i] += len(grams)
+            continue
+        grams, owner, words = _many([data[a:b] for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)], bits)
         for group, chosen in enumerate((slice(0, words), slice(words, None))):
-            sums[group, first : first + many] += np.bincount(owner[chosen], contribution[grams[chosen]].astype(np.float64), minlength=many)
-            counts[group, first : first + many] += np.bincount(owner[chosen], minlength=many)
-
-    for i, j in slices(np.diff(offsets), AT_ONCE):
-        parts = [data[a:b] for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
-        if len(parts) == 1 and len(parts[0]) > AT_ONCE:
-            for piece in _pieces(parts[0]):
-                add(i, 1, *_many([piece], bits))
-        else:
-            add(i, j - i, *_many(parts, bits))
+            sums[group, i:j] = np.bincount(owner[chosen], worth[grams[chosen]], minlength=j - i)
+            counts[group, i:j] = np.bincount(owner[chosen], minlength=j - i)
     logits = (sums / np.maximum(counts, 1)).sum(0) / 2
     return np.where(counts.sum(0) > 0, 1 / (1 + np.exp(-np.clip(logits, -500, 500))), empty)
 
@@ -150,32 +189,28 @@ def text_scores(offsets: np.ndarray, data: np.ndarray, contribution: np.ndarray,
 def _many(parts: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(bucket, number of its text) of all n-grams of these texts, and the number of word n-grams, which come first.
 
-    A blank stands after each, so that no n-gram spans two of them.
+    A blank stands after each, so that no n-gram spans two of them; pairs of words that do are left out.
     """
     gap = np.full(1, 10, np.uint8)
     joined = np.concatenate([x for p in parts for x in (p, gap)])
     ends = np.cumsum([len(p) + 1 for p in parts])
-    grams, places, n_words = ngram_buckets(joined, bits, text_ends=ends)
-    owner = np.searchsorted(ends, places, side="right")
-    return grams, owner, n_words
-
-
-def _pieces(part: np.ndarray) -> Iterator[np.ndarray]:
-    """A very long text in pieces that end after a blank, where there is one."""
-    at = 0
-    while at < len(part):
-        end = min(len(part), at + AT_ONCE)
-        if end < len(part):
-            blanks = np.flatnonzero(_BLANK[part[at:end]])
-            end = at + int(blanks[-1]) + 1 if len(blanks) else end
-        yield part[at:end]
-        at = end
+    blank, points = _BLANK[joined], _RANDOM[joined]
+    starts, _, words = _word_sums(points, blank)
+    of_word = np.searchsorted(ends, starts, side="right")
+    ones, pairs = _word_buckets(words, bits)
+    one = of_word[:-1] == of_word[1:]
+    chars, places = _char_buckets(points, blank, bits)
+    grams = np.concatenate((ones, pairs[one], *chars))
+    owner = np.concatenate((of_word, of_word[:-1][one], *[np.searchsorted(ends, p, side="right") for p in places]))
+    return grams, owner, len(ones) + int(one.sum())
 
 
 def score_quality(docs: DataFrame, contribution: np.ndarray, bits: int, empty: float = 0.0, threshold: float = 0.3) -> DataFrame:
     """docs (with text) plus score and predicted; its other columns pass through, but for these two names.
 
-    Null and empty texts, and those of blanks only, have the score `empty`. Repeated rows score alike.
+    Null and empty texts, and those of blanks only, have the score `empty`. Repeated rows score alike,
+    very long texts are scored whole (in connected pieces, so that memory doesn't grow with them), and
+    an empty table gives no rows. A tie with the threshold counts as label 1.
     """
     docs = docs.drop("score", "predicted")
     names = docs.columns
@@ -190,9 +225,12 @@ def score_quality(docs: DataFrame, contribution: np.ndarray, bits: int, empty: f
     return docs.mapInArrow(scored, with_fields(docs, "score double, predicted int"))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, keep: Column, rows_per_class: tuple[int, int] = (1500, 1500), max_bytes: int = 1 << 16, bits: int = 18) -> np.ndarray:
-    sample = labelled_sample(docs, labels, "quality", keep, rows_per_class, max_bytes).collect()  # the sum of rows_per_class at most
-    sample.sort(key=lambda r: r["doc_id"])
+def train_quality(docs: DataFrame, labels: DataFrame, keep: Column, rows_per_class: tuple[int, int] = (1500, 1500), most_bytes: int = 1 << 26, bits: int = 18) -> np.ndarray:
+    """Contributions learned from a sample of the labelled documents that keep holds for.
+
+    rows_per_class and most_bytes bound the sample (see labelled_sample), and so the driver's memory.
+    """
+    sample = labelled_sample(docs, labels, "quality", keep, rows_per_class, most_bytes)
     return train([r["text"].encode() for r in sample], [r["label"] for r in sample], bits)
 
 
@@ -204,7 +242,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str, bits: int = 18) ->
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, bits: int = 18) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go.
+
+    Null, empty and blank texts have score 0, so they go. Repeated rows and rows with a null id are
+    judged by their texts as all others; other columns may be null. An empty table stays empty.
+    """
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     contribution = train_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0, bits=bits)
     return score_quality(docs, contribution, bits).where("predicted = 1").drop("score", "predicted")

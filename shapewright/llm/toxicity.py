@@ -97,6 +97,21 @@ def suspect_stretches(text: str) -> list[tuple[int, int]]:
     return whole
 
 
+_APART = re.compile(r"[^\W\d_]{2}[ \t\n\v\f\r]")
+
+
+def whole_parts(text: str, least: int) -> list[str]:
+    """A text in parts of at least so many characters that end where no stretch and no word goes on.
+
+    A blank after two letters is such a place: it ends a token, and no single letters set apart span it.
+    """
+    parts, at = [], 0
+    while len(text) - at > least and (m := _APART.search(text, at + least - 1)):
+        parts.append(text[at : m.end()])
+        at = m.end()
+    return [*parts, text[at:]] if at < len(text) or not parts else parts
+
+
 class CharacterModel:
     """Trigram log-probabilities of letter slots, interpolated with shorter ones; slot 0 is any other character."""
 
@@ -222,13 +237,20 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SHORTEST, LONGEST = 3, 10
 
 
+_LOWER: list[np.ndarray] = []
+
+
+def lower_letters() -> np.ndarray:
+    """Code point -> code point of its lower case (the first, where there are several), whatever stands beside it."""
+    if not _LOWER:
+        _LOWER.append(np.array([cp if 0xD800 <= cp < 0xE000 else ord(chr(cp).lower()[0]) for cp in range(0x110000)], np.uint32))
+    return _LOWER[0]
+
+
 def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(feature, word before, word number, text number) of each beginning and short whole word of all words of these texts."""
     ends = np.cumsum([len(t) + 1 for t in texts])
-    points = np.frombuffer("\n".join([*texts, ""]).lower().encode("utf-32-le", "replace"), np.uint32)
-    if len(points) != (ends[-1] if len(texts) else 0):  # lower-casing changed a length
-        texts = ["".join(c if len(c) == 1 else c[0] for c in map(str.lower, t)) for t in texts]
-        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)
+    points = lower_letters()[np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32)]
     letter = letter_slots()[points] > 0
     starts = np.flatnonzero(letter & ~np.concatenate(([False], letter[:-1])))
     if not len(starts):
@@ -265,11 +287,11 @@ class Lexicon:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(features >> np.uint64(48)).astype(np.int64)] = True
 
-    def scores(self, texts: list[str], otherwise: float) -> np.ndarray:
-        """The chance that one of a text's words is a sign; a word counts by its likeliest feature."""
-        out = np.full(len(texts), otherwise)
+    def clear(self, texts: list[str]) -> np.ndarray:
+        """The chance that none of a text's words is a sign; a word counts by its likeliest feature."""
+        none = np.ones(len(texts))
         if not len(self.features):
-            return out
+            return none
         features, _, word, text = word_features(texts)
         near = self.maybe[(features >> np.uint64(48)).astype(np.int64)]
         features, word, text = features[near], word[near], text[near]
@@ -278,13 +300,15 @@ class Lexicon:
         word, text, chance = word[hit], text[hit], self.chances[at[hit]]
         order = np.lexsort((-chance, word))
         first = order[np.concatenate(([True], np.diff(word[order]) > 0))] if len(order) else order
-        none = np.ones(len(texts))
         np.multiply.at(none, text[first], 1 - chance[first])
-        return np.maximum(otherwise, 1 - none)
+        return none
 
+    def scores(self, texts: list[str], otherwise: float) -> np.ndarray:
+        return np.maximum(otherwise, 1 - self.clear(texts))
 
-def train_lexicon(texts: list[str], labels: list[int], least: int = 3, most: int = 20_000, signs: float = 1e-5, slips: float = 0.03, base_rate: float = 0.1) -> Lexicon:
-    """The features that labelled, restored texts show to be signs, the `most` likeliest of them.
+
+def train_lexicon(texts: list[str], labels: list[int], least: int = 3, signs: float = 1e-5, slips: float = 0.03, base_rate: float = 0.1) -> Lexicon:
+    """The features that labelled, restored texts show to be signs, all those likelier to be one than not.
 
     A feature's occurrences behind different words are counted, so that copies of one text count
     once. A sign's come from toxic texts but for the share `slips`; any other feature's come from
@@ -333,15 +357,15 @@ def train_lexicon(texts: list[str], labels: list[int], least: int = 3, most: int
         if not len(sure):
             sure, sure_chance = features[chance >= 0.95], chance[chance >= 0.95]
     rest = (chance >= 0.5) & (chance < 0.95)
-    features, chance = np.concatenate((sure, features[rest])), np.concatenate((sure_chance, chance[rest]))
-    keep = np.argsort(-chance, kind="stable")[:most]
-    return Lexicon(features[keep], chance[keep])
+    return Lexicon(np.concatenate((sure, features[rest])), np.concatenate((sure_chance, chance[rest])))
 
 
 def score_toxicity(docs: DataFrame, counts: np.ndarray, lexicon: Lexicon, otherwise: float) -> DataFrame:
     """docs (with text) plus score and predicted; its other columns pass through, but for these two names and text.
 
-    Null and empty texts have the score `otherwise`. Repeated rows score alike.
+    Null and empty texts have the score `otherwise`, as all have without a sign, so those tie. Repeated
+    rows score alike, whatever stands beside them. Very long texts are scored whole, in parts that no
+    word or stretch spans. An empty table gives no rows.
     """
     docs = docs.drop("score", "predicted")
     # 8 * SLOTS ** 3 bytes and the lexicon's bounded table, whatever the input
@@ -354,7 +378,11 @@ def score_toxicity(docs: DataFrame, counts: np.ndarray, lexicon: Lexicon, otherw
         for batch in batches:
             scores, texts = [], [t or "" for t in batch.column("text").to_pylist()]
             for i, j in slices(map(len, texts), AT_ONCE):
-                scores.append(lexicon.scores(model.restore(texts[i:j]), otherwise))
+                if j == i + 1:  # perhaps very long
+                    clear = np.prod([lexicon.clear(model.restore([part])) for part in whole_parts(texts[i], AT_ONCE)], axis=0)
+                else:
+                    clear = lexicon.clear(model.restore(texts[i:j]))
+                scores.append(np.maximum(otherwise, 1 - clear))
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
@@ -380,11 +408,13 @@ def distinct_texts(texts: list[str]) -> list[int]:
     return kept
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, rows_per_class: tuple[int, int] = (3000, 2000), max_bytes: int = 1 << 16) -> tuple[np.ndarray, Lexicon, float]:
-    """(character counts of all docs, lexicon, score of texts without a sign). Labels come from a bounded sample."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, rows_per_class: tuple[int, int] = (3000, 2000), most_bytes: int = 1 << 26) -> tuple[np.ndarray, Lexicon, float]:
+    """(character counts of all docs, lexicon, score of texts without a sign).
+
+    Labels come from a sample that rows_per_class and most_bytes bound (see labelled_sample).
+    """
     counts = character_counts(docs)
-    sample = labelled_sample(docs, labels, "toxic", keep, rows_per_class, max_bytes).collect()  # the sum of rows_per_class at most
-    sample.sort(key=lambda r: r["doc_id"])
+    sample = labelled_sample(docs, labels, "toxic", keep, rows_per_class, most_bytes)
     sample = [sample[k] for k in distinct_texts([r["text"] for r in sample])]
     texts, labels = [r["text"] for r in sample], [r["label"] for r in sample]
     model, restored = CharacterModel(counts), []
