@@ -1,8 +1,9 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is a
-pre-aggregated minimum per node and an equi-join, so a hub's edges can be split over tasks, and no
-node's neighbours are ever gathered. Each round is a table in the shared folder.
+pre-aggregated minimum per node and an equi-join; hubs, of which there are few, are joined by a
+broadcast, so their edges stay spread over tasks and no node's neighbours are ever gathered. Each
+round is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, hub_join
 
 
-def _star(pairs: DataFrame, small: bool) -> DataFrame:
-    """pairs (a, b): b is a neighbour of a. Neighbours move to the least of a and its neighbours."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = pairs.join(least, "a")
+def _star(pairs: DataFrame, small: bool, total: int) -> DataFrame:
+    """pairs (a, b), about total: b is a neighbour of a. Neighbours move to the least of a and its neighbours."""
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    moved = hub_join(pairs, least, "a", "n", total)
     if small:
         return moved.select(F.col("b").alias("v"), "m").unionByName(least.select(F.col("a").alias("v"), "m")).where("v != m")
     return moved.where("b > a").select(F.col("b").alias("v"), "m").where("v != m")
@@ -44,8 +45,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str, rounds:
     before = _state(edges)
     for k in range(1, rounds + 1):
         both = edges.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(edges.select(F.col("m").alias("a"), F.col("v").alias("b")))
-        large = _star(both, small=False).distinct()
-        after = _star(large.select(F.col("v").alias("a"), F.col("m").alias("b")), small=True).distinct()
+        large = _star(both, small=False, total=2 * before[0]).distinct()
+        after = _star(large.select(F.col("v").alias("a"), F.col("m").alias("b")), small=True, total=before[0]).distinct()
         edges = scratch.save(after.coalesce(_tasks(before[0])), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         now = _state(edges)

@@ -5,7 +5,9 @@
    the least one, and clusters are connected components of those ties, so no pairs are listed.
 3. Within a cluster, cut into blocks where it is large, MinHashes of all pairs are compared step by
    step; a pair is dropped once the posterior probability that its similarity reaches the threshold
-   falls below the tolerance. What is left is verified exactly on the shingles, by counting common
+   falls below the tolerance. Signatures alone are dealt to the cells for this, and of a cell only
+   the members with a pair left come out.
+4. The texts of those meet in their cells and are verified exactly on the shingles, by counting common
    ones for a whole block. Per text only its number of links and a tree edge leave the task.
 """
 
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, utf8_buffers, with_fields
+from .common import Scratch, free_prefix, hub_join, table, utf8_buffers, with_fields
 from .components import connected_components
 from .embedding_dedup import linked_roots
 
@@ -53,22 +55,14 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
 
 
 def minhashes(own: np.ndarray) -> np.ndarray:
-    """HASHES minima of multiply-add hashes of these shingles."""
+    """HASHES minima of multiply-add hashes of these shingles, 16 mixed bits of each."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(own), 2048):
             values = own[i : i + 2048][None, :] * _FACTORS[:, None] + _ADDED[:, None]
             np.minimum(least, values.min(1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
-
-
-def band_values(signature: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0]
-        for k in range(BAND_ROWS):
-            h = (h ^ signature[k::BAND_ROWS].astype(np.uint64)) * _MIX[k + 1]
-            h ^= h >> np.uint64(31)
-    return h.view(np.int64)
+    with np.errstate(over="ignore"):  # minima of many values begin with zeros
+        return ((least ^ least >> np.uint64(32)) * _MIX[0] >> np.uint64(48)).astype(np.uint16)
 
 
 def least_matches(threshold: float, tolerance: float) -> list[int]:
@@ -131,29 +125,36 @@ def common_shingles(sets: list[np.ndarray], first: int, columns: int = 4096) ->
 
 
 class _Member:
-    __slots__ = ("key", "copies", "resident", "shingles", "signature")
+    __slots__ = ("key", "copies", "resident", "signature", "shingles")
 
-    def __init__(self, key: bytes, copies: int, resident: bool, text: bytes):
+    def __init__(self, key: bytes, copies: int, resident: bool, signature: bytes):
         self.key, self.copies, self.resident = key, copies, resident
-        self.shingles = shingles(text)
-        self.signature = minhashes(self.shingles)
+        self.signature = np.frombuffer(signature, np.uint16)
+        self.shingles: np.ndarray | None = None
 
 
-def linked_members(members: list[_Member], threshold: float, fewest: list[int], inside: bool) -> Iterator[tuple[bytes, int, bytes]]:
-    """(key, links, root) of members in one cell: of all pairs if it is a block with itself, else of residents with others."""
-    if inside:
-        a = b = members
-    else:
+def _sides(members: list[_Member], inside: bool, fewest: list[int]) -> tuple[list[_Member], list[_Member], np.ndarray]:
+    """The members of a cell that have a pair left after pruning, as rows and columns, and which pairs those are.
+
+    A block with itself has all its members on both sides, any other cell has residents and others.
+    """
+    a = b = members
+    if not inside:
         a, b = ([m for m in members if m.resident is side] for side in (True, False))
     if not a or not b:
-        return
+        return [], [], np.zeros((0, 0), bool)
     linked = surviving(np.stack([m.signature for m in a]), np.stack([m.signature for m in b]), fewest)
     if inside:
         np.fill_diagonal(linked, False)
     rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-    if not len(rows):
+    return [a[i] for i in rows], [b[i] for i in columns], linked[np.ix_(rows, columns)]
+
+
+def linked_members(members: list[_Member], threshold: float, fewest: list[int], inside: bool) -> Iterator[tuple[bytes, int, bytes]]:
+    """(key, links, root) of members with shingles in one cell: of all pairs if it is a block with itself, else of residents with others."""
+    a, b, linked = _sides(members, inside, fewest)
+    if not a:
         return
-    a, b, linked = [a[i] for i in rows], [b[i] for i in columns], linked[np.ix_(rows, columns)]
     common = common_shingles([m.shingles for m in [*a, *b]], len(a))
     either = np.array([len(m.shingles) for m in a])[:, None] + np.array([len(m.shingles) for m in b])[None, :] - common
     # the threshold as a fraction of whole numbers, so that equality counts
@@ -173,15 +174,72 @@ def linked_members(members: list[_Member], threshold: float, fewest: list[int],
                 yield m.key, n, keys[root]
 
 
-def similarity_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, class_id, n_links, n_words_hashed, text_key, one row per document.
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[_Member]]]:
+    """The members of each cell, from rows sorted by cell; with a text column also their shingles."""
+    at, held = None, {}
+    for batch in batches:
+        texts = utf8_buffers(batch.column("text")) if "text" in batch.schema.names else None
+        names = zip(*[batch.column(c).to_pylist() for c in ("cluster", "i", "j", "key", "copies", "resident", "signature")], strict=True)
+        for k, (cluster, i, j, key, copies, resident, signature) in enumerate(names):
+            if (cluster, i, j) != at:
+                if held:
+                    yield at, list(held.values())
+                at, held = (cluster, i, j), {}
+            if key not in held:
+                held[key] = member = _Member(key, copies, resident, signature)
+                if texts:
+                    offsets, data = texts
+                    member.shingles = shingles(data[offsets[k] : offsets[k + 1]].tobytes())
+    if held:
+        yield at, list(held.values())
+
+
+def _batches(rows: Iterator[tuple], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kind.types, strict=True)], schema=kind)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kind.types, strict=True)], schema=kind)
+
+
+def text_key(text: Column) -> Column:
+    """What equal texts have in common: 16 bytes."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def sketch(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, key, text) -> doc_id, key, n_shingles, signature; the key is null where a text has no shingles."""
+    names = ["doc_id", "key", "n_shingles", "signature"]
+
+    def sketched(batches):
+        for batch in batches:
+            offsets, data = utf8_buffers(batch.column("text"))
+            keys, counts, signatures = [], [], []
+            for key, a, b in zip(batch.column("key").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                own = shingles(data[a:b].tobytes())
+                keys.append(key if len(own) else None)
+                counts.append(len(own))
+                signatures.append(minhashes(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())], names=names)
+
+    return rows.select("doc_id", "key", "text").mapInArrow(sketched, with_fields(rows.select("doc_id", "key"), "n_shingles long, signature binary"))
+
+
+def similarity_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256, block_shingles: int = 1 << 20) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, class_id, n_links, key, class_key, one row per document.
 
     Two texts link if the Jaccard similarity of their sets of five-word shingles is at least the
     threshold; equal texts always do. n_links counts the documents linked directly, class_id is the
-    smallest doc_id reachable by links. Null, empty and blank texts have no shingles and link with
-    nothing: class_id is then the doc_id. Rows with a null doc_id are compared as others, and where
-    a class has no other, its class_id is null. Repeated rows are copies of each other. An empty
-    table gives no rows.
+    smallest doc_id reachable by links. key names the text (see text_key) and class_key that of the
+    class's first document, the one with class_id. Null, empty and blank texts have no shingles and
+    link with nothing: class_id is then the doc_id, and both keys are null. Rows with a null doc_id are
+    compared as others, and where a class has no other, its class_id is null. Repeated rows are copies
+    of each other; an id may stand for several texts, each compared by itself. Very long texts are
+    shingled whole, and more of a cluster's blocks are made where its texts are long. Columns but
+    doc_id and text aren't read. An empty table gives no rows.
 
     A pair of similarity 0.8 shares no band with probability 3e-6, and one above the threshold is
     dropped early with about the tolerance.
@@ -189,96 +247,94 @@ def similarity_join(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     fewest = least_matches(threshold, tolerance)
-
-    def sketched(batches):
-        for batch in batches:
-            offsets, data = utf8_buffers(batch.column("text"))
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                keys, bands = [], []
-                for a, b in zip(offsets[i : i + 512], offsets[i + 1 : i + 513]):  # noqa: B905
-                    text = data[a:b].tobytes()
-                    own = shingles(text)
-                    keys.append(xxhash.xxh128_digest(text) if len(own) else None)
-                    bands.append(band_values(minhashes(own)) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "key", "bands"])
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = with_fields(rows.select("doc_id", "text_hash"), "key binary, bands array<bigint>")
-    sketches = scratch.save(rows.mapInArrow(sketched, schema), "sketches")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    sketches = scratch.save(sketch(rows), "sketches")
     known = sketches.where("key is not null")
-    copies = scratch.save(known.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"), F.count("*").alias("copies")), "copies")
+    # the signature follows from the key: grouping by both lets map sides combine
+    classes = scratch.save(known.groupBy("key", "n_shingles", "signature").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("key")), "classes")
+    n_rows, n_classes = known.count(), classes.count()
     # nodes of the candidate graph: 64 bits of the key; two classes with one number only widen a cluster
-    node = F.xxhash64("key").alias("node")
-    banded = known.select(node, F.explode("bands").alias("band"))
-    tied = banded.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("other")).where("root != other").select("band", "root")
-    ties = banded.join(tied, "band").where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct()
+    width = 2 * BAND_ROWS
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(BANDS)])
+    banded = classes.select("node", F.explode(bands).alias("band"))
+    tied = banded.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("other"), F.count("*").alias("n")).where("root != other").select("band", "root", "n")
+    ties = hub_join(banded, tied, "band", "n", BANDS * n_classes).where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct()
     clusters = connected_components(ties, scratch, "clusters").withColumnRenamed("component", "cluster")
-    members = scratch.save(copies.withColumn("node", node).join(clusters, "node").select("key", "least_id", "text_hash", "copies", "cluster"), "members")
+    members = scratch.save(classes.join(clusters, "node").select("key", "least_id", "copies", "n_shingles", "signature", "cluster"), "members")
     # a large cluster's blocks meet in cells (i, j), i <= j
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = members.join(sizes, "cluster").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    sizes = sizes.select("cluster", "n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("parts"))
+    dealt = hub_join(members, sizes, "cluster", "n", n_classes).withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     cell = F.transform(others, lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    cells = dealt.withColumn("at", F.explode(cell)).select("key", "least_id", F.col("text_hash").alias("its_hash"), "copies", "cluster", "at.i", "at.j", (F.col("own") == F.col("at.i")).alias("resident"))
-    # the text of one document of each class that is in a cluster; without ids, equal texts are one row
-    one = rows.where("doc_id is not null").unionByName(rows.where("doc_id is null").dropDuplicates(["text"]))
-    # the texts are dealt by hash and id whatever the number of cells, which grows with the input
-    texts = one.join(cells.hint("shuffle_hash"), (F.col("text_hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
+    cells = dealt.withColumn("at", F.explode(cell)).select("cluster", "at.i", "at.j", "key", "least_id", "copies", (F.col("own") == F.col("at.i")).alias("resident"), "signature")
+
+    def pruned(batches):
+        left = ((*at, m.key) for at, members in _by_cell(batches) for side in _sides(members, at[1] == at[2], fewest)[: 1 if at[1] == at[2] else 2] for m in side)
+        yield from _batches(left, pa.schema([("cluster", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.binary())]))
+
+    # signatures meet first, texts only where a pair is left
+    placed = lambda df: df.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    left = scratch.save(placed(cells.drop("least_id")).mapInArrow(pruned, "cluster long, i int, j int, key binary"), "left")
+    wanted = left.join(cells, ["cluster", "i", "j", "key"])
+    # the text of one document of each class that has a pair left; without ids, equal texts are one row
+    chosen = members.join(left.select("key").distinct(), "key", "left_semi").select("key", "least_id").hint("shuffle_hash")
+    found = rows.join(chosen, (rows["key"] == chosen["key"]) & rows["doc_id"].eqNullSafe(chosen["least_id"]), "left_semi").dropDuplicates(["key"]).select("key", "text")
 
     def compared(batches):
         kind = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
-        held: dict[bytes, _Member] = {}
-        at = None
-        out: list[tuple[bytes, int, bytes]] = []
-        for batch in batches:
-            offsets, data = utf8_buffers(batch.column("text"))
-            names = zip(*[batch.column(c).to_pylist() for c in ("cluster", "i", "j", "key", "copies", "resident")], strict=True)
-            for k, (cluster, i, j, key, n, resident) in enumerate(names):
-                if (cluster, i, j) != at:
-                    if at:
-                        out.extend(linked_members(list(held.values()), threshold, fewest, at[1] == at[2]))
-                    at, held = (cluster, i, j), {}
-                text = data[offsets[k] : offsets[k + 1]].tobytes()
-                # an id that is repeated with different texts brings texts of other classes
-                if key not in held and xxhash.xxh128_digest(text) == key:
-                    held[key] = _Member(key, n, resident, text)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
-                out = []
-        if at:
-            out.extend(linked_members(list(held.values()), threshold, fewest, at[1] == at[2]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
-
-    placed = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    met = scratch.save(placed.select("cluster", "i", "j", "key", "copies", "resident", "text").mapInArrow(compared, "key binary, links long, root binary"), "met")
+        yield from _batches((r for at, members in _by_cell(batches) for r in linked_members(members, threshold, fewest, at[1] == at[2])), kind)
+
+    met = placed(wanted.join(found, "key").select("cluster", "i", "j", "key", "copies", "resident", "signature", "text"))
+    met = scratch.save(met.mapInArrow(compared, "key binary, links long, root binary"), "met")
+    for name in ("members", "left"):
+        scratch.drop(name)
     edges = met.where("key != root").select(F.col("key").alias("u"), F.col("root").alias("v"))
-    found = connected_components(edges, scratch, "classes").select(F.col("node").alias("key"), "component")
+    component = connected_components(edges, scratch, "components").select(F.col("node").alias("key"), "component")
     links = met.groupBy("key").agg(F.sum("links").alias("links"))
-    classed = copies.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = classed.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    whole = classed.join(least, "component").join(links, "key", "left").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = sketches.select("doc_id", "key").where("key is not null").join(whole, "key").select("doc_id", "class_id", "n_links", "key")
-    alone = sketches.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "key")
+    classed = classes.select("key", "least_id", "copies").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key")).alias("first")
+    least = classed.groupBy("component").agg(first, F.count("*").alias("n")).select("component", F.col("first.least_id").alias("class_id"), F.col("first.key").alias("class_key"), "n")
+    whole = hub_join(classed, least, "component", "n", n_classes).join(links, "key", "left")
+    whole = whole.select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_key", "copies")
+    joined = hub_join(known.select("doc_id", "key"), whole, "key", "copies", n_rows).select("doc_id", "class_id", "n_links", "key", "class_key")
+    none = F.lit(None).cast("binary")
+    alone = sketches.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), none.alias("key"), none.alias("class_key"))
     return joined.unionByName(alone)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_join(table(spark, sf_dir, "documents")).drop("key")
+    return similarity_join(table(spark, sf_dir, "documents")).drop("key", "class_key")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays.
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) but near copies: of each class of similarity_join one row stays.
 
-    Rows that repeat that document, with its id, stay with it. Rows with a null id can't be named
-    among those that go, so all of them stay.
+    It has the class's smallest doc_id, or none where no row of the class has one; of that id's texts in
+    the class the one with the least key, and of rows with that id and text any one. Rows whose texts
+    have no words link with nothing, so they all stay. An empty table stays empty.
     """
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    joined = similarity_join(rows)
-    gone = joined.where("doc_id != class_id").select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti")
+    mark = free_prefix(docs)
+    key, fate, doc = f"{mark}key", f"{mark}fate", f"{mark}doc"
+    joined = scratch_classes(docs)
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    fates = joined.groupBy("doc_id", "key").agg(F.min(first).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    fates = fates.select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.when(F.col("stays"), "repeated").otherwise("goes").alias(fate))
+    rows = docs.withColumn(f"{mark}text_key", text_key(F.col("text")))
+    told = rows.join(fates, rows["doc_id"].eqNullSafe(fates[doc]) & (rows[f"{mark}text_key"] == fates[key]), "left").drop(doc, key)
+    once = told.where(F.col(fate).isNull())
+    repeated = told.where(F.col(fate) == "repeated").dropDuplicates(["doc_id", f"{mark}text_key"])
+    return once.unionByName(repeated).drop(f"{mark}text_key", fate)
+
+
+def scratch_classes(docs: DataFrame) -> DataFrame:
+    """similarity_join's rows that have a key, written, as they are read more than once."""
+    return Scratch(docs.sparkSession, "classes").save(similarity_join(docs.select("doc_id", "text")).where("key is not null"), "rows")
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each class stays; see one_of_each_class for nulls, repeated rows and ties."""
+    return one_of_each_class(docs.select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 QUERIES = {"op9_ngram_join": op9_ngram_join}

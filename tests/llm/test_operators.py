@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,8 +11,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shapewright.llm import byte_bpe, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
+from shapewright.llm.common import Scratch, hub_join, labelled_sample
+from shapewright.llm.components import connected_components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -190,6 +194,74 @@ def test_toxicity_reads_ends_and_doubles():
     assert toxicity.suspect_stretches("letter-s-t-u-p-i-d on") == [(7, 18)]
 
 
+def letter_counts(texts):
+    counts = np.zeros(language_id.SLOTS**3, np.int64)
+    for t in texts:
+        code = np.concatenate(([0, 0], language_id.letter_slots()[[ord(c) for c in t]].astype(int), [0]))
+        np.add.at(counts, (code[:-2] * 64 + code[1:-1]) * 64 + code[2:], 1)
+    return counts
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    rng = random.Random(21)
+    model = toxicity.CharacterModel(letter_counts(["then kill on", "stupid moron", "hate there", "an ass then", "letter all"] * 20))
+    slots = language_id.letter_slots()
+
+    def cost(readings):
+        x, y, total = 0, 0, 0.0
+        for reading, c in [*readings, ("\n", 0.0)]:
+            total -= c
+            for ch in reading:
+                z = int(slots[ord(ch)])
+                total += float(model.log[x, y, z])
+                x, y = y, z
+        return total
+
+    for _ in range(150):
+        seen = "".join(rng.choice("aelst1!|0$@7 .-4oo") for _ in range(rng.randrange(2, 8)))
+        lattice = model.lattice(seen)
+        every = [cost(r) for r in itertools.product(*lattice)]
+        found = model._decode(seen)
+        assert any("".join(x for x, _ in r) == found and math.isclose(c, max(every), abs_tol=1e-6) for r, c in zip(itertools.product(*lattice), every, strict=True)), seen
+
+
+def test_lexicon_against_counts():
+    """The features of a lexicon are those that a plain count says, and their chances too."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(2))
+    texts = [" ".join([*(word() for _ in range(rng.randrange(5, 20))), *(["zonk"] if i % 3 == 0 else [])]) for i in range(90)]
+    labels = [int(i % 3 == 0) for i in range(90)]
+    lexicon = toxicity.train_lexicon(texts, labels)
+    signs = set()
+    for n in range(3, 5):
+        signs.add("zonk"[:n])
+    features, _, of, _ = toxicity.word_features(["zonk"])
+    assert set(features.tolist()) == set(lexicon.features.tolist()) and len(features) == 3 and not of.any()  # zon-, zonk-, zonk
+    bad, good = 0.1 * 1.0, 0.9 * 0.25 / 60
+    assert np.allclose(lexicon.chances, bad / (bad + good), atol=1e-2)
+    assert np.allclose(lexicon.scores([f"an zonk {w}" for w in ("th", "on")], 0.0), lexicon.chances.max())
+
+
+def test_toxicity_of_whole_texts(spark):
+    counts = letter_counts(["then stupid on", "then moron on", "an there"] * 30)
+    lexicon = toxicity.Lexicon(*(lambda f: (f, np.full(len(f), 0.9)))(toxicity.word_features(["stupid"])[0]))
+    long = "then on an " * 40_000
+    rows = [(1, None), (2, ""), (3, "an stup1d on"), (3, "an stup1d on"), (None, "then s t u p i d"), (5, long + "stup1d " + long), (6, long), (7, "İİİ stupid"), (8, "\U0001d400 x"), (9, "ΣΑΣ STUPID")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, score string, predicted int").coalesce(1)
+    want = {1: 0.005, 2: 0.005, 3: 0.9, None: 0.9, 5: 0.9, 6: 0.005, 7: 0.9, 8: 0.005, 9: 0.9}
+    got = toxicity.score_toxicity(docs, counts, lexicon, 0.005)
+    assert got.columns == ["doc_id", "score", "predicted"] and got.count() == len(rows)
+    assert all(math.isclose(r["score"], want[r["doc_id"]], abs_tol=1e-9) and r["predicted"] == (r["score"] >= 0.5) for r in got.collect())
+    assert toxicity.score_toxicity(docs.limit(0), counts, lexicon, 0.005).count() == 0
+    # cutting and neighbours make no difference
+    model, rng = toxicity.CharacterModel(counts), random.Random(5)
+    for _ in range(100):
+        text = "".join(rng.choice("ab$1 .-\n") for _ in range(300))
+        parts = toxicity.whole_parts(text, rng.randrange(1, 80))
+        assert "".join(parts) == text and "".join(model.restore(parts)) == model.restore([text])[0]
+    assert toxicity.whole_parts("", 5) == [""]
+
+
 def test_license_scan(docs):
     def base(text):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -370,6 +442,58 @@ def test_ngram_join_compares_texts_without_ids(spark):
         assert Counter(map(tuple, got)) == want
 
 
+def test_ngram_join_of_long_texts_in_small_blocks(spark):
+    rng = random.Random(15)
+    long = " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 9) for _ in range(60_000))
+    rows = [(i, long + " end" * i) for i in range(4)] + [(9, "short one " * 30), (10, "short one " * 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, links, root = brute_links(rows)
+    want = Counter((i, rows[root[k]][0], len(links[k])) for k, (i, _) in enumerate(rows))
+    got = ngram_join.similarity_join(docs, block_shingles=50_000).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == want and sum(map(len, links)) >= 12
+
+
+def test_one_of_each_class_stays(spark):
+    rng = random.Random(13)
+    u, v, w, x = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    rows = [(2, u, "a"), (3, u + " more", "a"), (3, v, "b"), (4, w, "a"), (4, w, "a"), (4, w + " more", "c"), (None, x, None), (None, x, None), (None, x + " more", None), (None, u + " less", None)]
+    rows += [(7, None, "a"), (7, None, "a"), (8, "", "a"), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, c, 1, 2, c) for i, t, c in rows], "doc_id long, text string, class_id string, _key int, n_links int, copies string")
+    out = ngram_join.one_of_each_class(docs)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got.pop((None, x), 0) + got.pop((None, x + " more"), 0) == 1  # neither has an id: any one of them
+    assert got.pop((4, w), 0) + got.pop((4, w + " more"), 0) == 1  # an id's several texts: any one
+    assert got == Counter([(2, u), (3, v), (7, None), (7, None), (8, ""), (None, None)])
+    assert ngram_join.one_of_each_class(docs.limit(0)).count() == 0
+    # rows that repeat one document
+    same = docs.where("doc_id = 4 and class_id = 'a'").unionByName(docs.where("doc_id = 2"))
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each_class(same).collect()) == [2, 4]
+
+
+def test_hub_join(spark):
+    left = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (3, 1), (None, 2)) for i in range(n)], "k int, i int")
+    right = spark.createDataFrame([(1, "x", 500), (2, "y", 3), (4, "z", 0)], "k int, v string, n int")
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, left.join(right.drop("n"), "k", how).collect()))
+        assert Counter(map(tuple, hub_join(left, right, "k", "n", 506, how, share=100).collect())) == want
+
+
+def test_components_of_hubs_and_chains(spark, tmp_path):
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(rng.randrange(6000, 6100), rng.randrange(6000, 6100)) for _ in range(80)] + [(7, 7), (None, 3)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {(x, find(x)) for x in list(root)}
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = connected_components(df, Scratch(spark, "test"), "c").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 8))
@@ -408,3 +532,59 @@ def test_quality_classifier(spark):
     alone = [quality_classifier.text_scores(offsets[i : i + 2], buffer, w, 14, 0.0)[0] for i in range(80)]
     assert np.allclose(alone, [got[i]["score"] for i in range(80)], atol=1e-9)
     assert not quality_classifier.train([b"a"], [1], bits=8).any()
+    assert quality_classifier.score_quality(spark.createDataFrame([], "text string, predicted string"), w, 14).collect() == []
+
+
+def slow_ngrams(text, bits):
+    """Word and character n-grams one by one, by the hashes of single words and n-grams."""
+    words = [x for x in re.split(rb"[\x20\x09-\x0D]+", text) if x]
+    alone = lambda data: next(quality_classifier.text_ngrams(np.frombuffer(data, np.uint8), bits))[0].tolist()
+    ones = [alone(x)[0] for x in words]
+    pairs = [alone(a + b" " + b)[2] for a, b in itertools.pairwise(words)]
+    chars = []
+    for n in (2, 3, 4):
+        for i in range(len(text) + 2 - n):
+            gram = (text + b"\n")[i : i + n]
+            if not re.search(rb"[\x20\x09-\x0D]", gram[:-1]):
+                points = np.frombuffer(gram, np.uint8)
+                chars.append(int(quality_classifier._char_buckets(quality_classifier._RANDOM[points], quality_classifier._BLANK[points], bits)[0][n - 2][0]))
+    return Counter(ones + pairs), Counter(chars)
+
+
+def test_quality_ngrams_whatever_the_pieces():
+    rng = random.Random(31)
+    for size in (0, 1, 2, 7, 60, 200):
+        for letters in ("ab \n", "abcdé", "a  "):
+            text = "".join(rng.choice(letters) for _ in range(size)).encode()
+            want = slow_ngrams(text, 16) if size < 100 else None
+            for at_once in (1, 2, 3, 16, 1 << 19):
+                found = list(quality_classifier.text_ngrams(np.frombuffer(text, np.uint8), 16, at_once))
+                got = tuple(Counter(np.concatenate([f[k] for f in found]).tolist()) for k in (0, 1))
+                want = want or got
+                assert got == want, (text, at_once)
+
+
+def test_quality_scores_against_a_slow_scorer(spark):
+    rng, random_weights = random.Random(32), np.random.default_rng(1).normal(0, 3, 1 << 16).astype(np.float32)
+    texts = ["", " \n", "a", "".join(rng.choice("ab cd\n") for _ in range(400)), "abc" * 200, "漢字かな" * 100]
+
+    def slow(text):
+        parts = [sum(random_weights[g].astype(float) * n for g, n in c.items()) / max(1, sum(c.values())) for c in slow_ngrams(text.encode(), 16)]
+        return 1 / (1 + math.exp(-sum(parts) / 2)) if text.split() else 0.0
+
+    offsets, data = quality_classifier.utf8_buffers(pa.array(texts))
+    for at_once in (5, 64, 1 << 19):
+        got = quality_classifier.text_scores(offsets, data, random_weights, 16, 0.0, at_once)
+        assert np.allclose(got, list(map(slow, texts)), atol=1e-9)
+
+
+def test_labelled_sample(spark):
+    texts = {i: "x" * (10 * i) for i in range(40)}
+    docs = spark.createDataFrame([*((i, t) for i, t in texts.items()), (5, None), (50, None), (None, "x"), (7, "aa")], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(40)), (50, 1), (None, 1), (3, 0), (4, None), (8, 0)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), (100, 100), 1 << 20)
+    assert {r["doc_id"]: (r["text"], r["label"]) for r in got} == {i: ("aa" if i == 7 else t, i % 2) for i, t in texts.items() if i != 3}
+    few = labelled_sample(docs, labels, "toxic", F.lit(True), (5, 3), 1 << 20)
+    assert Counter(r["label"] for r in few) == {0: 5, 1: 3} and set(few) <= set(got)
+    small = labelled_sample(docs, labels, "toxic", F.lit(True), (100, 100), 500)
+    assert 450 < sum(len(r["text"]) for r in small) <= 500
