@@ -107,22 +107,56 @@ def test_sharding(docs):
         assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 8
     assert all(len(s) == 1 for s in by_text.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    # brute force: the least capacity over groups in order of their MD5
+    assert max(sizes.values()) == least_capacity([r["text"] for r in rows_of(docs)])
+    assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def least_capacity(texts, shards=8):
+    """Brute force: groups of at least an even share apart, then the least capacity over the others in order of their MD5."""
     groups = Counter()
-    for r in rows_of(docs):
-        groups[hashlib.md5((r["text"] or "").encode()).hexdigest()] += len((r["text"] or "").encode()) + 1
+    for t in texts:
+        groups[hashlib.md5((t or "").encode()).hexdigest()] += len((t or "").encode()) + 1
+    rest, apart = sum(groups.values()), []
+    for k, n in sorted(groups.items(), key=lambda x: (-x[1], x[0])):
+        if shards - len(apart) > 1 and n * (shards - len(apart)) >= rest:
+            apart.append(n)
+            rest -= groups.pop(k)
+        else:
+            break
     ordered = [groups[k] for k in sorted(groups)]
 
-    def shards(capacity):
+    def needed(capacity):
         n, held = 1, 0
         for g in ordered:
-            if g > capacity:
-                return 99
             n, held = (n, held + g) if held + g <= capacity else (n + 1, g)
         return n
 
-    assert max(sizes.values()) == next(c for c in range(max(ordered), sum(ordered) + 1) if shards(c) <= 8)
-    assert sharding.shard_documents(docs.limit(0)).count() == 0
+    return max([*apart, *([next(c for c in range(max(ordered), sum(ordered) + 1) if needed(c) <= shards - len(apart))] if ordered else [])])
+
+
+@pytest.mark.parametrize("digits", [(3, 2), (1, 1)])
+def test_sharding_is_even(spark, monkeypatch, digits):
+    monkeypatch.setattr(sharding, "FIRST_DIGITS", digits[0])
+    monkeypatch.setattr(sharding, "MORE_DIGITS", digits[1])
+    monkeypatch.setattr(sharding, "CELL_ROWS", 50)
+    rng = random.Random(41)
+    small = ["".join(rng.choice("abc") for _ in range(rng.randrange(20, 400))) for _ in range(200)]
+    for texts, many in ((small + ["hot" * 5333 + "x"] * 20, 8), (small + ["a"] * 300, 8), (small, 8), (small[:3], 3), (["same"] * 40, 1), (small + ["h" * 30_000, "i" * 9_000, "j" * 9_100], 8), (["long" * 400_000, *small], 8)):
+        docs = spark.createDataFrame([(i if i % 7 else None, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, shard int, row int")
+        rows = sharding.shard_documents(docs).collect()
+        sizes, slots = Counter(), defaultdict(list)
+        for r in rows:
+            sizes[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert len(rows) == len(texts) and len(sizes) == many and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert max(sizes.values()) == least_capacity(texts)
+        groups = sorted(Counter({t: len(t) + 1 for t in texts} | {t: n * (len(t) + 1) for t, n in Counter(texts).items()}).values())
+        # groups of their own aside, no shard is short of an even share by more than the others' largest group
+        while groups and groups[-1] * many >= sum(groups) and many > 1:
+            groups.pop()
+            many -= 1
+        if groups:
+            assert min(sizes.values()) >= sum(groups) / many - max(groups), sizes
 
 
 def test_byte_bpe(docs):
