@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
+import operator
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import ahocorasick
 import pyarrow as pa
@@ -19,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, with_fields
 
-REMEMBERED = 400_000
+#: Entries of the memo, none of a piece of more characters than the second: some 200 MB at the utmost.
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+AT_ONCE = 1 << 18
 _CODERS: dict = {}
 
 
@@ -137,13 +141,29 @@ class ByteBPE:
         return self._most
 
     def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.encode_parts(text)))
+
+    def encode_parts(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, some ten thousand pieces of the pattern at a time where it is long."""
+        if len(text) <= AT_ONCE:
+            yield self._encode_pieces(self.pattern.findall(text))
+            return
+        found = map(operator.itemgetter(0), self.pattern.finditer(text))
+        while pieces := list(islice(found, AT_ONCE // 8)):
+            yield self._encode_pieces(pieces)
+
+    def _encode_pieces(self, pieces: list[str]) -> list[int]:
         memo = self.memo
-        pieces = self.pattern.findall(text)
         if len(memo) > REMEMBERED:
             memo.clear()
-        for p in set(pieces).difference(memo):
+        new = set(pieces).difference(memo)
+        for p in new:
             memo[p] = tuple(self.encode_piece(p.encode("utf-8", "surrogatepass")))
-        return list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        for p in new:  # what is long doesn't come often
+            if len(p) > LONGEST_REMEMBERED:
+                del memo[p]
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -164,7 +184,9 @@ def coder(path: str, pattern: str) -> ByteBPE:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids (array<int>): each piece of the pattern encoded separately.
 
-    Null and empty texts have no ids. Repeated rows are encoded alike.
+    Null and empty texts have no ids. Repeated rows are encoded alike, very long texts whole. Columns
+    but doc_id and text aren't read, and an empty table gives no rows. An array holds a text's ids, so
+    texts of more than 2 ** 31 tokens don't fit one.
     """
 
     def encoded(batches):
@@ -178,17 +200,25 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, with one text's ids held at a time."""
+    """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null, empty, repeated and long texts are as in encode_documents; of a long text only a part's ids
+    are held at a time.
+    """
 
     def digested(batches):
         bpe = coder(path, pattern)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column("text"):
-                ids = bpe.encode(text.as_py() or "")
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in bpe.encode_parts(text.as_py() or ""):
+                    of_ids.update((("," if count and ids else "") + ",".join(map(bpe.digits.__getitem__, ids))).encode())
+                    of_text.update(bpe.decode(ids))
+                    count += len(ids)
+                counts.append(count)
+                ids_sha.append(of_ids.hexdigest())
+                text_sha.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = docs.select("doc_id", "text")

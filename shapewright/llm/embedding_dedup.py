@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, with_fields
+from .common import Scratch, hub_join, table, with_fields
 from .components import connected_components
 
 
@@ -62,15 +62,17 @@ def memberships(x: np.ndarray, centres: np.ndarray, chord: float) -> tuple[np.nd
 
 
 def _blocks(cells: DataFrame, block: int) -> DataFrame:
-    """cells (label, cell, id, home, weight, embedding) -> one row for each block pair a row takes part in."""
-    sizes = cells.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("at_home"))
+    """cells (label, length, cell, id, home, weight, embedding) -> one row for each block pair a row takes part in."""
+    cells = cells.withColumn("place", F.struct("label", "length", "cell"))
+    sizes = cells.groupBy("place").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("at_home"))
     parts = lambda n, most: F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("int")
-    dealt = cells.join(sizes, ["label", "cell"]).withColumns({"in_i": parts("at_home", block), "in_j": parts("n", 4 * block)})
+    sizes = sizes.select("place", "n", "at_home", parts("at_home", block).alias("in_i"), parts("n", 4 * block).alias("in_j"))
+    dealt = hub_join(cells, sizes, "place", "n", cells.count())
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     # residents meet all blocks of members; members meet all blocks of residents, which are fewer
     as_resident = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("in_j") - 1), lambda j: F.struct(own("in_i").alias("i"), j.alias("j"), F.lit(True).alias("resident")))).otherwise(F.array().cast("array<struct<i:int,j:int,resident:boolean>>"))
     as_member = F.when(F.col("at_home") > 0, F.transform(F.sequence(F.lit(0), F.col("in_i") - 1), lambda i: F.struct(i.alias("i"), own("in_j").alias("j"), F.lit(False).alias("resident")))).otherwise(F.array().cast("array<struct<i:int,j:int,resident:boolean>>"))
-    return dealt.withColumn("at", F.explode(F.concat(as_resident, as_member))).select("label", "cell", "at.i", "at.j", "at.resident", "id", "weight", "embedding")
+    return dealt.withColumn("at", F.explode(F.concat(as_resident, as_member))).select("place", "at.i", "at.j", "at.resident", "id", "weight", "embedding")
 
 
 def linked_roots(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,63 +116,62 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, sample_r
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept, one row per vector.
 
     Vectors link if their labels are equal and not null and their cosine is at least threshold.
-    Vectors that are null, empty or zero, hold null or non-finite numbers, or have a null label or id
-    link with nothing: 0 links, and a component of their own. Lengths that differ link with nothing
-    either. Equal vectors of a label are compared as one and counted as many; repeated vec_ids are
-    rows of their own, each linked with its copies. Only a sample of sample_rows vectors is fitted on;
-    all are assigned and compared. An empty table gives no rows.
+    Vectors that are null, empty or zero, hold null or non-finite numbers, or have a null label link
+    with nothing: 0 links, and a component of their own. Lengths that differ link with nothing either.
+    Equal vectors of a label are compared as one and counted as many; repeated vec_ids are rows of
+    their own, each linked with its copies. Vectors with a null vec_id link as others; a component's id
+    is the least that isn't null, and null (and all its rows kept) where there is none. Very long
+    vectors are compared as others. Columns of other names aren't read. Only a sample of sample_rows
+    vectors is fitted on; all are assigned and compared, those of a length that the sample hasn't got
+    in one cell. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
     e = F.col("embedding")
-    fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
+    fit = F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select("vec_id", "embedding", "label").withColumn("fit", F.coalesce(fit, F.lit(False)))
     # equal vectors stand together; hot ones are pre-aggregated before the shuffle
     classes = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
     # a class is named by a number of its own: repeated ids may stand for different vectors
-    classes = scratch.save(classes.withColumn("id", F.xxhash64("least_id", "label", "embedding")), "classes")
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample_rows).collect()
-    n_classes = classes.count()
-    results = []
+    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
     by_length: dict[int, list] = {}
     for r in sample:
         by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    lengths = [r[0] for r in classes.select(F.size("embedding")).distinct().collect()] if n_classes else []
     chord = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    for length in sorted(lengths):
-        known = by_length.get(length) or [classes.where(F.size("embedding") == length).select("embedding").first()[0]]
-        unit = unit_rows(pa.array(known, pa.list_(pa.float64())))
-        centres = fit_centres(unit, min(most_cells, -(-n_classes // cell_rows)))
-        shared = spark.sparkContext.broadcast(centres)  # at most most_cells centres
-
-        def assigned(batches, shared=shared):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    row, cell, home = memberships(unit_rows(part.column("embedding")), shared.value, chord)
-                    out = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=[*part.schema.names, "cell", "home"])
-
-        chosen = classes.where(F.size("embedding") == length).select("label", "id", "weight", "embedding")
-        cells = scratch.save(chosen.mapInArrow(assigned, with_fields(chosen, "cell int, home boolean")), f"cells-{length}")
-        met = _blocks(cells, block).groupBy("label", "cell", "i", "j").applyInArrow(_compare(threshold), "id long, links long, root long")
-        results.append(scratch.save(met, f"met-{length}"))
-    out = F.col("vec_id")
-    if not results:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), out.alias("component_id"), F.lit(True).alias("kept"))
-    met = results[0]
-    for r in results[1:]:
-        met = met.unionByName(r)
+    cells_of = lambda known: min(most_cells, -(-n_classes * len(known) // (len(sample) * cell_rows)))
+    # at most most_cells centres of each length, and sample_rows in all
+    shared = spark.sparkContext.broadcast({n: fit_centres(unit_rows(pa.array(known, pa.list_(pa.float64()))), cells_of(known)) for n, known in by_length.items()})
+
+    def assigned(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                lengths = part.column("length").to_numpy()
+                for length in np.unique(lengths):
+                    same = part.take(pa.array(np.flatnonzero(lengths == length)))
+                    if length in shared.value:
+                        row, cell, home = memberships(unit_rows(same.column("embedding")), shared.value[length], chord)
+                        same = same.take(pa.array(row))
+                    else:
+                        cell, home = np.zeros(same.num_rows), np.ones(same.num_rows, bool)
+                    yield pa.RecordBatch.from_arrays([*same.columns, pa.array(cell.astype(np.int32)), pa.array(home)], names=[*part.schema.names, "cell", "home"])
+
+    chosen = classes.select("label", F.size("embedding").alias("length"), "id", "weight", "embedding")
+    cells = scratch.save(chosen.mapInArrow(assigned, with_fields(chosen, "cell int, home boolean")), "cells")
+    met = scratch.save(_blocks(cells, block).groupBy("place", "i", "j").applyInArrow(_compare(threshold), "id long, links long, root long"), "met")
+    scratch.drop("cells")
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     found = connected_components(_edges(met), scratch, "components")
-    names = classes.select("id", "least_id", "weight", "label", "embedding")
-    placed = names.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    first = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    summed = placed.join(first, "component").join(links, "id", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    joined = rows.where("fit").join(summed, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    placed = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    summed = hub_join(placed, first, "component", "n", n_classes).join(links, "id", "left")
+    summed = summed.select(F.struct("label", "embedding").alias("vector"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", "weight")
+    joined = hub_join(rows.where("fit").select("vec_id", F.struct("label", "embedding").alias("vector")), summed, "vector", "weight", n_rows).select("vec_id", "n_links", "component_id")
     apart = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     both = joined.unionByName(apart)
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _edges(met: DataFrame) -> DataFrame:

@@ -440,11 +440,20 @@ def test_pack(limits):
                 end += p.length
             assert end <= limits.tokens and len(ps) <= limits.segments
             assert sum(max(0, p.start + p.length - max(p.start, loss[p.example])) for p in ps) <= limits.loss_tokens
-            if limits == packing.Limits():
-                assert end == limits.tokens or end & (end - 1) == 0
+            assert end == limits.tokens or end & (end - 1) == 0
 
 
-def test_pack_documents(docs):
+def test_pack_weighs_all_three_dimensions():
+    """Of two examples that fit, the one whose demand has the larger dot product with what is left goes first."""
+    limits = packing.Limits(100, 10, 20)
+    pieces = packing.pack([60, 60, 40, 40], [60, 40, 40, 20], limits)
+    first = [p.example for p in pieces if p.sequence == 0]
+    demand = np.array([200 / 100, 4 / 10, 40 / 20])
+    value = [demand / demand.sum() @ [n / 100, 1 / 10, (n - f) / 20] for n, f in ((60, 60), (60, 40), (40, 40), (40, 20))]
+    assert first[0] == int(np.argmax(value)) == 1 and first[1] == 2  # 3 has too many loss-bearing tokens beside 1
+
+
+def test_pack_documents(spark, docs):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_tokenizers.path("word_bpe_49k.json")
     theirs = tokenizers.Tokenizer.from_file(path)
@@ -453,14 +462,46 @@ def test_pack_documents(docs):
     for _ in range(500):
         text = "".join(rng.choice("abcDEéüñ İIKthion  \n\t's,.!漢🙂̱\x01\u00850123") for _ in range(rng.choice([3, 30])))
         assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
-    got = packing.pack_documents(docs, path, round_rows=7).collect()
-    want = Counter()
-    for r in rows_of(docs):
-        want[r["doc_id"], len(theirs.encode(r["text"] or "", add_special_tokens=False).ids) + 1] += 1
-    covered = Counter()
-    for r in got:
-        covered[r["doc_id"], r["doc_tokens"]] += r["length"]
-    assert covered == Counter({k: k[1] * n for k, n in want.items()})
+    ids = lambda t: theirs.encode(t or "", add_special_tokens=False).ids
+
+    def check(df, want, partitions):
+        """Each document's ids once, in pieces whose sums and places are right; few sequences are short."""
+        of, sequences = defaultdict(list), defaultdict(list)
+        for r in df.collect():
+            of[r["doc_id"], r["doc_tokens"]].append(r)
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        whole = defaultdict(list)
+        for doc, found in want:
+            whole[doc, len(found)].append(found)
+        assert set(of) == set(whole)
+        for k, rows in of.items():
+            expected = Counter((r["start"], r["length"], r["ids_crc32"]) for r in rows)
+            alone = all(x == whole[k][0] for x in whole[k])
+            spans = Counter()
+            for start, length, crc in expected.elements():
+                spans.update(range(start, start + length))
+                if alone:
+                    assert crc == zlib.crc32(np.array(whole[k][0][start : start + length], "<u4").tobytes())
+            assert spans == Counter({i: len(whole[k]) for i in range(k[1])})
+        short = 0
+        for places in sequences.values():
+            end = 0
+            for offset, length in sorted(places):
+                assert offset == end
+                end += length
+            assert end <= 4096 and end & (end - 1) == 0
+            short += end < 4096
+        assert short <= 13 * partitions  # the binary digits of one sequence each
+
+    rows = rows_of(docs)
+    check(packing.pack_documents(docs, path, round_rows=7), [(r["doc_id"], [*ids(r["text"]), 2]) for r in rows], docs.rdd.getNumPartitions())
+    many = docs.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 10_000).alias("doc_id"), "text")).repartition(2).withColumn("length", F.lit("clash")).withColumn("ids", F.lit(1))
+    check(packing.pack_documents(many, path, round_rows=5, round_tokens=3000), [(r["doc_id"], [*ids(r["text"]), 2]) for r in many.collect()], 2)
+    asked = docs.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.lit("Tell me, why?")).alias("question"))
+    check(packing.pack_documents(asked, path, packing.Limits(loss_tokens=500), prompt="question", round_rows=9), [(r["doc_id"], [*ids(r["question"]), *ids(r["text"]), 2]) for r in asked.collect()], 10**6)
+    long = spark.createDataFrame([(1, "Ünïcode wörds, and more. " * 60_000), (2, "漢字" * 50_000)], "doc_id long, text string")
+    check(packing.pack_documents(long, path), [(r["doc_id"], [*ids(r["text"]), 2]) for r in long.collect()], 4)
+    assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
 def brute_links(rows):
@@ -570,16 +611,18 @@ def test_embeddings(spark):
         v = centres[k % 6] + rng.normal(size=8) * rng.choice([0.02, 0.1, 1.0])
         rows.append((k, [float(np.float32(x)) for x in v], k % 2))
     rows += [(1, rows[1][1], 1), (400, rows[5][1], 1), (401, rows[5][1], None), (402, None, 1), (403, [0.0] * 8, 1), (404, [float("nan")] * 8, 1), (405, [], 0), (406, [None] * 8, 0), (407, [1.0, 2.0], 0), (408, [2.0, 4.0], 0)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows += [(None, rows[5][1], 1), (None, rows[9][1], 1), (None, [3.0, -1.0, 0.5], 1), (None, [3.0, -1.0, 0.5], 1), (None, None, 1), (409, [0.1] * 300, 0), (410, [0.1] * 300, 0)]
+    vectors = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, id int, weight int")
     good = [i for i, (_, v, label) in enumerate(rows) if label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     unit = {i: np.array(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in good}
     links = {i: [j for j in good if j != i and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98] for i in good}
-    root = {i: rows[i][0] for i in range(len(rows))}
+    root = {i: math.inf if rows[i][0] is None else rows[i][0] for i in range(len(rows))}
     for _ in range(len(rows)):
         for i in good:
             root[i] = min([root[i], *(root[j] for j in links[i])])
+    root = {i: None if r == math.inf else r for i, r in root.items()}
     want = Counter((rows[i][0], len(links.get(i, [])), root[i], rows[i][0] == root[i]) for i in range(len(rows)))
-    for options in ({}, {"cell_rows": 20, "block": 8, "sample_rows": 100}):
+    for options in ({}, {"cell_rows": 20, "block": 8, "sample_rows": 60}):
         assert Counter(map(tuple, embedding_dedup.near_duplicate_vectors(vectors, **options).collect())) == want
     assert embedding_dedup.near_duplicate_vectors(vectors.limit(0)).count() == 0
 
