@@ -7,18 +7,16 @@ datatypes nor language tags have one. Equal strings are the same term, so joins
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Vocabulary that others define.
-RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-RDFS = "http://www.w3.org/2000/01/rdf-schema#"
-SH = "http://www.w3.org/ns/shacl#"
-XSD = "http://www.w3.org/2001/XMLSchema#"
-PREFIXES = {"rdf": RDF, "rdfs": RDFS, "sh": SH, "xs": XSD, "xsd": XSD}
+# Fixed values that others define: prefixes and namespaces, one a line.
+PREFIXES = dict(line.split() for line in pkgutil.get_data(__package__, "vocabularies.txt").decode().splitlines())
+RDF, RDFS, SH, XSD = (PREFIXES[p] for p in ("rdf", "rdfs", "sh", "xsd"))
 NUMERIC = ("integer", "decimal", "double", "float", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")
 
 

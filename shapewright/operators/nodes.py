@@ -66,14 +66,15 @@ def check_direct_type(ctx: Context, cls: str) -> DataFrame:
 def check_closed(ctx: Context, allowed: list[Step]) -> DataFrame:
     """Nodes with a property that isn't listed; with inverse members also nodes with such an inverse property.
 
-    The predicates that may violate are known here, so only their columns are read.
+    The predicates that may violate are known here, so only their columns are read, and of them only
+    whether there is a value.
     """
     graph = ctx.graph
     forward, inverse = ({s.predicate for s in allowed if s.inverse is side} for side in (False, True))
-    parts = [graph.pred(p, repeated=True).select(F.col("s").alias("this")) for p in graph.predicates if p not in forward]
+    parts = [graph.holders(set(graph.predicates) - forward)]
     if inverse:
-        parts += [graph.pred(p, repeated=True).select(F.col("o").alias("this")) for p in graph.predicates if p not in inverse]
-    if not parts:
-        return ctx.empty()
-    open_nodes = reduce(DataFrame.unionByName, parts).where("this is not null").distinct()
+        # literals are objects only, so the columns that hold them matter to literal nodes only
+        literals = not ctx.focus.where(T.is_literal(F.col("this"))).isEmpty()
+        parts.append(graph.holders(set(graph.predicates) - inverse, inverse=True, literals=literals))
+    open_nodes = reduce(DataFrame.unionByName, parts)
     return ctx.rows(ctx.focus.join(open_nodes, "this", "left_semi"), "closed", "has a property outside the list")

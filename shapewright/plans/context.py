@@ -71,18 +71,22 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def step_edges(graph: TripleGraph, step: Step) -> DataFrame:
-    """(s, o) of a step: a predicate's facts, or the distinct ?subject and ?object of a query."""
+    """(s, o) of a step, which may repeat: a predicate's facts, or the ?subject and ?object of a query."""
     if not is_sparql(step.predicate):
-        return graph.pred(step.predicate)
+        return graph.pred(step.predicate, repeated=True)
     found = run_sparql(graph, step.predicate).select(F.col("subject").alias("s"), F.col("object").alias("o"))
-    return found.where("s is not null and o is not null").distinct()
+    return found.where("s is not null and o is not null")
 
 
-def follow(graph: TripleGraph, nodes: DataFrame, along: Path, start: str = "this") -> DataFrame:
-    """nodes with `value`, once for each value that the path leads to from `start`. Several steps may meet: made distinct."""
+def follow(graph: TripleGraph, nodes: DataFrame, along: Path, start: str = "this", repeated: bool = False) -> DataFrame:
+    """nodes with `value`, once for each value that the path leads to from `start`, or more often if repeated.
+
+    Facts are made distinct at the path's end only: one shuffle, after a combination on the map side.
+    """
     out = nodes.withColumn("value", F.col(start))
     for step in along.steps:
         near, far = ("o", "s") if step.inverse else ("s", "o")
         edges = step_edges(graph, step).select(F.col(near).alias("value"), F.col(far).alias("_next"))
         out = out.join(edges, "value").drop("value").withColumnRenamed("_next", "value")
-    return out.distinct() if len(along.steps) > 1 else out
+    once = len(along.steps) == 1 and graph.is_distinct(along.steps[0].predicate)
+    return out if repeated or once else out.distinct()

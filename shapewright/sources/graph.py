@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -13,6 +13,7 @@ from ..functions import terms as T
 TYPE, SUBCLASS = T.RDF + "type", T.RDFS + "subClassOf"
 FIRST, REST, NIL = T.RDF + "first", T.RDF + "rest", T.RDF + "nil"
 MOST_CLASS_EDGES = 1_000_000
+MOST_PREDICATES = 100_000
 
 
 class TripleGraph:
@@ -22,16 +23,31 @@ class TripleGraph:
     predicate read the union. Class edges may be given; otherwise they are the graph's own.
     """
 
-    def __init__(self, spark: SparkSession, predicates: dict[str, Callable[[], DataFrame]], subclasses: Iterable[tuple[str, str]] | None = None, distinct: Iterable[str] = (), typed: Callable[[set[str]], DataFrame] | None = None):
+    def __init__(self, spark: SparkSession, predicates: dict[str, Callable[[], DataFrame]], subclasses: Iterable[tuple[str, str]] | None = None, distinct: Iterable[str] = (), typed: Callable[[set[str]], DataFrame] | None = None, holders: Callable[[set[str], bool, bool], DataFrame] | None = None, facts: DataFrame | None = None):
         self._typed = typed  # the instances (s) of classes, where the source knows better than by reading all types
+        self._holders = holders  # the nodes that have predicates, where the source needn't read each by itself
+        self._facts = facts  # all (s, p, o), where the source has them in one table
         self.spark, self._predicates, self._distinct = spark, predicates, set(distinct)
-        self._subclasses = None if subclasses is None else list(subclasses)
+        self._subclasses = subclasses
         self._closure: dict[str, set[str]] | None = None
 
     @property
     def predicates(self) -> list[str]:
         return list(self._predicates)
 
+    def is_distinct(self, name: str) -> bool:
+        """Whether the source has each fact of a predicate once."""
+        return name in self._distinct
+
+    def holders(self, names: Iterable[str], inverse: bool = False, literals: bool = True) -> DataFrame:
+        """(this): the subjects of these predicates' facts, or inversely their objects, perhaps without literals. Nodes may repeat."""
+        names = set(names) & set(self._predicates)
+        if self._holders is not None:
+            return self._holders(names, inverse, literals)
+        column = "o" if inverse else "s"
+        found = self.all(names, repeated=True).select(F.col(column).alias("this"))
+        return found if literals or not inverse else found.where(~T.is_literal(F.col("this")))
+
     def pred(self, name: str, repeated: bool = False) -> DataFrame:
         """(s, o) of a predicate, each pair once unless repeated; no rows if the graph hasn't got it."""
         if name not in self._predicates:
@@ -39,10 +55,14 @@ class TripleGraph:
         edges = self._predicates[name]().where("s is not null and o is not null")
         return edges if repeated or name in self._distinct else edges.distinct()
 
-    def all(self, names: Iterable[str] | None = None) -> DataFrame:
-        """(s, p, o) of these predicates, or of all."""
-        chosen = [n for n in self.predicates if names is None or n in set(names)]
-        parts = [self.pred(n).select("s", F.lit(n).alias("p"), "o") for n in chosen]
+    def all(self, names: Iterable[str] | None = None, repeated: bool = False) -> DataFrame:
+        """(s, p, o) of these predicates, or of all, each once unless repeated."""
+        chosen = self.predicates if names is None else [n for n in self.predicates if n in set(names)]
+        if self._facts is not None:
+            facts = self._facts if names is None else self._facts.where(F.col("p").isin(chosen))
+            facts = facts.where("s is not null and o is not null").select("s", "p", "o")
+            return facts if repeated else facts.distinct()
+        parts = [self.pred(n, repeated).select("s", F.lit(n).alias("p"), "o") for n in chosen]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")
 
     def restricted(self, names: Iterable[str]) -> "TripleGraph":
@@ -85,8 +105,10 @@ class TripleGraph:
     def from_triples(cls, triples: DataFrame) -> "TripleGraph":
         """triples: (s, p, o) of canonical terms; p may be a bare IRI or a term."""
         bare = triples.withColumn("p", F.when(F.col("p").startswith("<"), F.expr("substr(p, 2, length(p) - 2)")).otherwise(F.col("p")))
-        names = [r["p"] for r in bare.select("p").distinct().collect()]  # one row per predicate
-        return cls(triples.sparkSession, {n: (lambda n=n: bare.where(F.col("p") == n).select("s", "o")) for n in sorted(names)})
+        names = [r["p"] for r in bare.where("p is not null").select("p").distinct().limit(MOST_PREDICATES + 1).collect()]
+        if len(names) > MOST_PREDICATES:
+            raise ValueError("too many predicates to name on the driver")
+        return cls(triples.sparkSession, {n: (lambda n=n: bare.where(F.col("p") == n).select("s", "o")) for n in sorted(names)}, facts=bare)
 
     @classmethod
     def from_terms(cls, spark: SparkSession, triples: Iterable[tuple[T.Term, T.Term, T.Term]]) -> "TripleGraph":
@@ -103,17 +125,18 @@ class TripleGraph:
 
     @classmethod
     def from_ntriples(cls, spark: SparkSession, location: str) -> "TripleGraph":
-        """A folder or file of N-Triples, read line by line in parallel. Escapes in literals are undone."""
+        """A folder or file of N-Triples, read line by line in parallel. Escapes are undone.
+
+        Blank lines and comments are skipped; any other line that is no triple raises an error when it is read.
+        """
         line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]+|"(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
-        text = spark.read.text(location).where(F.col("value").rlike(line))
+        text = spark.read.text(location).where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+        wrong = F.raise_error(F.concat(F.lit("no triple: "), F.col("value"))).cast("string")
+        text = text.select(F.when(F.col("value").rlike(line), F.col("value")).otherwise(wrong).alias("value"))
         part = lambda n: F.regexp_extract("value", line, n)
         rows = text.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("raw"))
-        plain = F.when(F.col("raw").endswith('"'), F.concat("raw", F.lit(f"^^<{T.XSD}string>"))).otherwise(F.col("raw"))
-        unescaped = plain
-        mark = "\u0001"
-        for seen, meant in (("\\\\", mark), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), (mark, "\\")):
-            unescaped = F.replace(unescaped, F.lit(seen), F.lit(meant))
-        return cls.from_triples(rows.select("s", "p", F.when(F.col("raw").startswith('"'), unescaped).otherwise(F.col("raw")).alias("o")))
+        raw = F.when(F.col("raw").endswith('"'), F.concat("raw", F.lit(f"^^<{T.XSD}string>"))).otherwise(F.col("raw"))
+        return cls.from_triples(rows.select(_unescaped(F.col("s")).alias("s"), _unescaped(F.col("p")).alias("p"), _unescaped(raw).alias("o")))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> "TripleGraph":
@@ -122,3 +145,20 @@ class TripleGraph:
 
         return cls(spark, *relational_predicates(spark, folder))
 
+
+def _unescaped(text: Column) -> Column:
+    """A term's text with its escapes undone: the single characters, \\uXXXX and \\UXXXXXXXX."""
+    # the pieces between backslashes: the first character of each but the first says what was escaped
+    double = F.replace(text, F.lit("\\\\"), F.lit("\u0001"))  # a doubled backslash escapes nothing behind it
+    pieces = F.split(double, r"\\")
+
+    def undone(piece: Column) -> Column:
+        code = lambda n: F.decode(F.unhex(F.lpad(F.substring(piece, 2, n), 8, "0")), "UTF-32BE")
+        rest = lambda n: F.substr(piece, F.lit(n))
+        out = F.when(piece.startswith("u"), F.concat(code(4), rest(6))).when(piece.startswith("U"), F.concat(code(8), rest(10)))
+        for mark, meant in (("n", "\n"), ("r", "\r"), ("t", "\t"), ("b", "\b"), ("f", "\f")):
+            out = out.when(piece.startswith(mark), F.concat(F.lit(meant), rest(2)))
+        return out.otherwise(piece)
+
+    whole = F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(undone(x))), "")
+    return F.when(text.contains("\\"), F.replace(whole, F.lit("\u0001"), F.lit("\\"))).otherwise(text)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms as T
-from .graph import FIRST, NIL, REST, TYPE
+from .graph import FIRST, MOST_CLASS_EDGES, NIL, REST, TYPE
 
 EX = "http://example.org/"
 
@@ -31,6 +32,7 @@ pages | page | page_id | Page | url=string html=string
 benchmark | item | item_id | Item | text=string
 embeddings | vec | vec_id | Vec | label=integer
 """
+LITERALS = ("string", "double", "integer", "dateTime", "lang")
 # Names that differ from their column's, or that tables share.
 NAMES = {("events", "user_id"): "user", ("conversations", "conv_id"): "conv"}
 
@@ -57,12 +59,31 @@ def _object(column: str, kind: str) -> Column:
     return T.iri_col(f"{EX}{kind}/", value)
 
 
-def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, Callable[[], DataFrame]], list[tuple[str, str]], set[str], Callable[[set[str]], DataFrame]]:
-    """(predicates, subclass edges, predicates whose pairs are known to be distinct, instances of classes)."""
+class Subclasses:
+    """Subclass edges, of which those of a category column are read when they are first asked for."""
+
+    def __init__(self, known: list[tuple[str, str]], categories: list[tuple[str, str, Callable[[], DataFrame]]]):
+        self.known, self.categories = known, categories
+        self.edges: list[tuple[str, str]] | None = None
+
+    def __iter__(self) -> Iterator[tuple[str, str]]:
+        if self.edges is None:
+            self.edges = list(self.known)
+            for prefix, top, values in self.categories:
+                rows = values().distinct().limit(MOST_CLASS_EDGES + 1).collect()
+                if len(rows) > MOST_CLASS_EDGES:
+                    raise ValueError(f"too many classes below {top} to name on the driver")
+                self.edges += [(prefix + r[0], top) for r in rows if r[0] is not None]
+        return iter(self.edges)
+
+
+def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, Callable[[], DataFrame]], Subclasses, set[str], Callable[[set[str]], DataFrame], Callable[[set[str], bool, bool], DataFrame]]:
+    """(predicates, subclass edges, predicates whose pairs are known to be distinct, instances of classes, holders of predicates)."""
     parts: dict[str, list[tuple[str, Callable[[], DataFrame]]]] = {}
     # (table, subject, class or start of its classes, column that ends their names)
     types: list[tuple[str, Callable[[], Column], str, str | None]] = []
-    subclasses = [(ex("Customer"), ex("Party")), (ex("Supplier"), ex("Party"))]
+    #: Columns by table: (predicate, column, kind of the object), and how the table's subjects are named.
+    columns_of: dict[str, tuple[Callable[[], Column], list[tuple[str, str, str]]]] = {}
     read = lambda table: spark.read.parquet(f"{folder}/{table}.parquet")
 
     def add(name: str, table: str, make: Callable[[], DataFrame]) -> None:
@@ -78,6 +99,7 @@ def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, C
         elif cls != "-":
             types.append((table, subject, ex(cls), None))
             add(TYPE, table, lambda t=table, s=subject, x=cls: read(t).select(s(), F.lit(f"<{ex(x)}>").alias("o")))
+        columns_of[table] = subject, [(ex(NAMES.get((table, c), c)), c, k) for c, k in (x.split("=") for x in columns.split())]
         for item in columns.split():
             column, of = item.split("=")
             add(ex(NAMES.get((table, column), column)), table, lambda t=table, s=subject, c=column, k=of: read(t).select(s(), _object(c, k).alias("o")))
@@ -93,9 +115,9 @@ def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, C
     add(REST, "cells", lambda: cells().select(cell.alias("s"), F.coalesce(T.iri_col(EX + "cell/", F.col("l_orderkey"), F.lit("-"), after), F.lit(f"<{NIL}>")).alias("o")))
     heads = lambda: read("lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
     add(ex("lines"), "cells", lambda: heads().select(_subject("order", ["l_orderkey"]).alias("s"), cell.alias("o")))
-    for prefix, table, column, top in (("Customer_", "customer", "c_mktsegment", "Customer"), ("Part_", "part", "p_type", "Part")):
-        # the values of a category column, few by nature
-        subclasses += [(ex(prefix + r[0]), ex(top)) for r in read(table).select(column).distinct().collect() if r[0] is not None]
+    # the values of a category column, few by nature
+    categories = [(ex(prefix), ex(top), lambda t=table, c=column: read(t).select(c)) for prefix, table, column, top in (("Customer_", "customer", "c_mktsegment", "Customer"), ("Part_", "part", "p_type", "Part"))]
+    subclasses = Subclasses([(ex("Customer"), ex("Party")), (ex("Supplier"), ex("Party"))], categories)
 
     def union(makers: list) -> Callable[[], DataFrame]:
         def make() -> DataFrame:
@@ -121,6 +143,26 @@ def relational_predicates(spark: SparkSession, folder: str) -> tuple[dict[str, C
             out = out.unionByName(f)
         return (out.distinct() if repeated else out).where("s is not null")
 
+    def holders(names: set[str], inverse: bool, literals: bool) -> DataFrame:
+        """One scan a table: of subjects only whether one of the columns has a value, of objects the values."""
+        frames = []
+        for table, (subject, columns) in columns_of.items():
+            wanted = [(c, k) for p, c, k in columns if p in names]
+            if inverse:
+                wanted = [(c, k) for c, k in wanted if literals or k not in LITERALS]
+                if wanted:
+                    frames.append(read(table).select(F.explode(F.array(*[_object(c, k) for c, k in wanted])).alias("this")))
+            elif wanted:
+                found = read(table).where(reduce(Column.__or__, [F.col(c).isNotNull() if k != "lang" else F.col(c).isNotNull() & F.col("lang").isNotNull() for c, k in wanted]))
+                frames.append(found.select(subject().alias("this")))
+        for name, makers in parts.items():
+            others = [make for table, make in makers if name in names and (table not in columns_of or name not in {p for p, _, _ in columns_of[table][1]})]
+            if name == ex("k") and inverse and not literals:
+                continue
+            frames += [make().where("s is not null and o is not null").select(F.col("o" if inverse else "s").alias("this")) for make in others]
+        out = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], "this string")
+        return out.where("this is not null")
+
     keyed = {"region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "pages", "benchmark", "embeddings"}
     distinct = {name for name, makers in parts.items() if len(makers) == 1 and makers[0][0] in keyed and name != ex("k")} | {REST, ex("lines")}
-    return {name: union(makers) for name, makers in parts.items()}, subclasses, distinct, instances
+    return {name: union(makers) for name, makers in parts.items()}, subclasses, distinct, instances, holders
