@@ -10,6 +10,7 @@ from __future__ import annotations
 import pkgutil
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,26 +141,36 @@ def lang_of(t: Column) -> Column:
     return F.when(is_literal(t) & tail.startswith("@"), F.substr(tail, F.lit(2)))
 
 
-def _family(datatype: Column) -> Column:
-    """Terms of one family can be ordered: numbers, strings, booleans, dates or times."""
-    short = F.when(datatype.startswith(XSD), F.substr(datatype, F.lit(len(XSD) + 1)))
-    return F.when(short.isin(*NUMERIC), F.lit("number")).when(short.isin("string", "boolean", "dateTime", "date"), short)
+def _has(t: Column, datatype: str) -> Column:
+    """Whether a term is a literal of this datatype of XSD: its end says it, so nothing is cut out."""
+    return t.startswith('"') & t.endswith(f'"^^<{XSD}{datatype}>')
+
+
+def _lexical(t: Column, datatype: str) -> Column:
+    """The lexical form of a literal that has this datatype."""
+    return F.substr(t, F.lit(2), F.length(t) - len(f'""^^<{XSD}{datatype}>'))
 
 
 def _less(a: Column, b: Column, strict: bool) -> Column:
-    """a < b (or <=) of two terms; NULL if they can't be compared."""
-    da, db = datatype_of(a), datatype_of(b)
-    fa, la, lb = _family(da), str_of(a), str_of(b)
-    floating = da.isin(XSD + "double", XSD + "float") | db.isin(XSD + "double", XSD + "float")
+    """a < b (or <=) of two terms; NULL if they can't be compared.
+
+    Terms of one family can be ordered: numbers, strings, booleans, dates or times.
+    """
+    order = lambda x, y: x < y if strict else x <= y
+    any_of = lambda t, names: reduce(Column.__or__, [_has(t, n) for n in names])
+    la, lb = str_of(a), str_of(b)
     xa, xb = la.try_cast("double"), lb.try_cast("double")
     ya, yb = la.try_cast("decimal(38,18)"), lb.try_cast("decimal(38,18)")
-    order = lambda x, y: x < y if strict else x <= y
+    floating = any_of(a, ("double", "float")) | any_of(b, ("double", "float"))
     # Spark orders NaN above all numbers, the standard compares nothing with it
     doubles = F.when(F.isnan(xa) | F.isnan(xb), F.lit(False)).otherwise(order(xa, xb))
     numbers = F.when(floating | ya.isNull() | yb.isNull(), doubles).otherwise(order(ya, yb))
-    times = order(la.try_cast("timestamp"), lb.try_cast("timestamp"))
-    known = F.when(fa == "number", numbers).when(fa == "string", order(la, lb)).when(fa == "boolean", order(la.try_cast("boolean"), lb.try_cast("boolean"))).otherwise(times)
-    return F.when(fa.isNotNull() & (fa == _family(db)), known)
+    known = None
+    for name, kind in (("dateTime", "timestamp"), ("string", "string"), ("date", "timestamp"), ("boolean", "boolean")):
+        compared = order(*[_lexical(t, name).try_cast(kind) if kind != "string" else _lexical(t, name) for t in (a, b)])
+        both = _has(a, name) & _has(b, name)
+        known = F.when(both, compared) if known is None else known.when(both, compared)
+    return known.when(any_of(a, NUMERIC) & any_of(b, NUMERIC), numbers)
 
 
 def less_than(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..plans.ast import NODE_KINDS, Component, Step
 from ..plans.context import Context
+from ..plans.scratch import cut
 
 
 def _fails(condition: Column) -> Column:
@@ -69,12 +70,14 @@ def check_closed(ctx: Context, allowed: list[Step]) -> DataFrame:
     The predicates that may violate are known here, so only their columns are read, and of them only
     whether there is a value.
     """
-    graph = ctx.graph
+    graph, focus = ctx.graph, cut(ctx.focus)
     forward, inverse = ({s.predicate for s in allowed if s.inverse is side} for side in (False, True))
     parts = [graph.holders(set(graph.predicates) - forward)]
     if inverse:
         # literals are objects only, so the columns that hold them matter to literal nodes only
-        literals = not ctx.focus.where(T.is_literal(F.col("this"))).isEmpty()
+        literals = not focus.where(T.is_literal(F.col("this"))).isEmpty()
         parts.append(graph.holders(set(graph.predicates) - inverse, inverse=True, literals=literals))
     open_nodes = reduce(DataFrame.unionByName, parts)
-    return ctx.rows(ctx.focus.join(open_nodes, "this", "left_semi"), "closed", "has a property outside the list")
+    # an inner join, as a semi join couldn't broadcast the focus nodes where they are few
+    found = focus.join(open_nodes, "this").select("parent", "this").distinct()
+    return ctx.rows(found, "closed", "has a property outside the list")

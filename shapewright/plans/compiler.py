@@ -99,8 +99,9 @@ class Compiler:
                 values = follow(self.graph, ctx.focus.select("this").distinct(), along)
                 return self.below(ctx, then, values, c.name, f"in path {along}", str(along))
             case "list":
-                cells = lists.cells_of(ctx)
-                found = lists.check_structure(ctx, cells)
+                rest = lists.rest_edges(ctx)
+                cells = lists.cells_of(ctx, rest)
+                found = lists.check_structure(ctx, cells, rest)
                 return union([found, self.below(ctx, arg, lists.elements(ctx, cells), c.name, "in list", None)])
             case "shape":
                 return self.shape(ctx, arg)

@@ -3,7 +3,9 @@
 A template's SQL may name, in square brackets: an argument (as a SQL literal), "text" (the argument's
 text as it is), l(argument "separator") (a list), p(argument) (a path's triples joined from focus),
 s(argument) and c(path argument) (failing nodes of a shape argument, on the focus nodes or on what a
-path leads to). [[ and ]] stand for brackets. A query may be SPARQL instead, with the variable ?this or ?scope. In braces: {focus}, {groups}, {triples}, {p_<local name>}.
+path leads to). [[ and ]] stand for brackets. A template's parts may be SPARQL (sparql=True, as those read
+as data are): then [p(argument)] is a property path, a filter says what conforms, and the solutions of a
+pattern and the groups of a having violate. A query may be SPARQL instead, with the variable ?this or ?scope. In braces: {focus}, {groups}, {triples}, {p_<local name>}.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from ..functions.terms import Term, iri, literal
 from ..sources.graph import TripleGraph
 from ..sources.sparql import run_sparql
 from ..sources.sparql_syntax import is_sparql
-from .ast import Path, ShapeSyntaxError
+from .ast import Path, ShapeSyntaxError, path
 from .context import Context, follow
 
+#: A predicate from parents to their focus nodes, in the queries of templates only.
+FOCUS = "urn:focus"
 _DIRECTIVE = re.compile(r"\[\[|\]\]|\[([^\[\]]*)\]")
 _NAME = re.compile(r"\{(\w+)\}")
 
@@ -32,12 +36,16 @@ def local_name(predicate: str) -> str:
 
 def run_sql(graph: TripleGraph, text: str, **frames: DataFrame) -> DataFrame:
     """Spark SQL whose {names} are DataFrames: those given, {triples}, and {p_<local name>} of predicates."""
-    known = {"p_" + local_name(p): p for p in graph.predicates}
+    known: dict[str, list[str]] = {}
+    for p in graph.predicates:
+        known.setdefault("p_" + local_name(p), []).append(p)
     for name in set(_NAME.findall(text)) - set(frames):
         if name == "triples":
             frames[name] = graph.all()
         elif name in known:
-            frames[name] = graph.pred(known[name])
+            if len(known[name]) > 1:
+                raise ShapeSyntaxError(f"{name} may be any of {sorted(known[name])}")
+            frames[name] = graph.pred(known[name][0])
         else:
             raise ShapeSyntaxError(f"the query names {name}, which isn't there")
     return graph.spark.sql(text, **{k: v for k, v in frames.items() if f"{{{k}}}" in text})
@@ -79,6 +87,8 @@ class ComponentTemplate:
     message: str = ""
     arguments: dict[str, object] = field(default_factory=dict)  # names and defaults
     check: Callable[[dict], bool] | None = None
+    sparql: bool = False  # filter, pattern and having are parts of a SPARQL query; having is then true where a set violates
+    paths: dict[str, Path] = field(default_factory=dict)  # of templates read as data: where an argument's node has each argument
 
     def bind(self, given: object) -> dict[str, object]:
         values = dict(self.arguments)
@@ -98,6 +108,8 @@ class ComponentTemplate:
         frames: dict[str, DataFrame] = {"focus": ctx.focus, "groups": ctx.groups}
         fill = lambda sql: substitute(sql, values, compiler, ctx, frames)
         message = fill_message(self.message or f"fails {self.name}", values)
+        if self.sparql and self.query is None:
+            return ctx.rows(self.solutions(ctx, values), self.name, message)
         if self.filter is not None:
             sql = f"SELECT parent, this FROM {{focus}} WHERE NOT coalesce({fill(self.filter)}, false)"
         elif self.pattern is not None:
@@ -114,6 +126,20 @@ class ComponentTemplate:
         return ctx.rows(found, self.name, message)
 
 
+    def solutions(self, ctx: Context, values: dict[str, object]) -> DataFrame:
+        """(parent, this) that the fragments select of the focus nodes: ?this is bound, ?parent is what it is a value of."""
+        if self.filter is None and self.pattern is None and self.having is None:
+            raise ShapeSyntaxError(f"template {self.name} has no body")
+        fill = lambda part: substitute(part, values, None, None, {}, sparql=True)
+        body = f"?parent <{FOCUS}> ?this . " + (fill(self.pattern) if self.pattern else "")
+        if self.filter is not None:
+            body += f" FILTER(!({fill(self.filter)}))"
+        group = f" GROUP BY ?parent ?this HAVING ({fill(self.having)})" if self.having is not None else ""
+        graph = ctx.graph.beside(FOCUS, ctx.focus.select(F.col("parent").alias("s"), F.col("this").alias("o")))
+        found = run_sparql(graph, f"SELECT DISTINCT ?parent ?this WHERE {{ {body} }}{group}")
+        return found.select("parent", "this")
+
+
 @dataclass
 class ScopeTemplate:
     """A query whose column `scope` has the nodes."""
@@ -121,6 +147,7 @@ class ScopeTemplate:
     name: str
     query: str
     arguments: dict[str, object] = field(default_factory=dict)
+    paths: dict[str, Path] = field(default_factory=dict)
 
     def nodes(self, graph: TripleGraph, given: object) -> DataFrame:
         values = ComponentTemplate(self.name, query="", arguments=self.arguments).bind(given)
@@ -131,8 +158,10 @@ def fill_message(message: str, values: dict[str, object]) -> str:
     return _DIRECTIVE.sub(lambda m: m[0][0] if m[1] is None else str(values.get(m[1], m[0])), message)
 
 
-def substitute(sql: str, values: dict[str, object], compiler, ctx: Context | None, frames: dict[str, DataFrame]) -> str:
-    constant = sparql_literal if is_sparql(sql) else sql_literal
+def substitute(sql: str, values: dict[str, object], compiler, ctx: Context | None, frames: dict[str, DataFrame], sparql: bool | None = None) -> str:
+    """The text with its directives filled in. In SPARQL a path argument is written as a property path."""
+    sparql = is_sparql(sql) if sparql is None else sparql
+    constant = sparql_literal if sparql else sql_literal
 
     def value(name: str) -> object:
         if name not in values:
@@ -154,6 +183,9 @@ def substitute(sql: str, values: dict[str, object], compiler, ctx: Context | Non
             return str(value(n[1]))
         if n := re.fullmatch(r'l\((\w+)\s+"([^"]*)"\)', text):
             return n[2].join(map(constant, value(n[1])))
+        if sparql and (n := re.fullmatch(r"p\((\w+)\)", text)):
+            along = value(n[1])
+            return str(along if isinstance(along, Path) else path(along.iri if isinstance(along, Term) else along))
         if ctx is not None:
             if (n := re.fullmatch(r"p\((\w+)\)", text)) and isinstance(value(n[1]), Path):
                 return frame(follow(ctx.graph, ctx.focus, value(n[1])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -30,10 +31,18 @@ class TripleGraph:
         self.spark, self._predicates, self._distinct = spark, predicates, set(distinct)
         self._subclasses = subclasses
         self._closure: dict[str, set[str]] | None = None
+        self._hidden: frozenset[str] = frozenset()
 
     @property
     def predicates(self) -> list[str]:
-        return list(self._predicates)
+        return [p for p in self._predicates if p not in self._hidden]
+
+    def beside(self, name: str, edges: DataFrame) -> "TripleGraph":
+        """This graph with further edges (s, o) that only those who name them see."""
+        other = copy.copy(self)
+        other._predicates = self._predicates | {name: lambda: edges}
+        other._hidden = self._hidden | {name}
+        return other
 
     def is_distinct(self, name: str) -> bool:
         """Whether the source has each fact of a predicate once."""
