@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+LEAST_HUB = 100_000
 _OWN_SCRATCH: list[str] = []
 _ROOTS: list[tuple[SparkSession, str]] = []
 
@@ -97,8 +98,11 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int,
 
     Keys with more than total / share of the left side's rows are hubs: there are less than `share` of
     them, so right's hub rows are broadcast and their many left rows stay where they are. All other
-    keys are joined as usual. total: rows of left. right's column `rows` isn't returned.
+    keys are joined as usual, and so are all where left has no more than LEAST_HUB rows, which any one
+    task can hold. total: rows of left. right's column `rows` isn't returned.
     """
+    if total <= LEAST_HUB:
+        return left.join(right.drop(rows), key, how)
     most = max(total // share, 1)
     kept = [c for c in right.columns if c not in (key, rows)]
     mark = free_prefix(left) + "hub"

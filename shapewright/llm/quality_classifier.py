@@ -119,13 +119,17 @@ def text_ngrams(part: np.ndarray, bits: int, at_once: int = AT_ONCE) -> Iterator
 
 def ngram_weights(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights) of a text: half the weight is spread over its word n-grams, half over its character n-grams."""
-    counts = np.zeros((2, 1 << bits), np.int64)
-    for words, chars in text_ngrams(np.frombuffer(text, np.uint8), bits):
-        counts[0] += np.bincount(words, minlength=1 << bits)
-        counts[1] += np.bincount(chars, minlength=1 << bits)
-    weights = (counts * 0.5 / np.maximum(counts.sum(1, keepdims=True), 1)).sum(0)
-    seen = np.flatnonzero(weights)
-    return seen, weights[seen].astype(np.float32)
+    kinds: tuple[list, list] = ([], [])
+    for found in text_ngrams(np.frombuffer(text, np.uint8), bits):
+        for kind, grams in zip(kinds, found, strict=True):
+            kind.append(np.unique(grams, return_counts=True))
+    seen, weights = [], []
+    for kind in kinds:
+        total = max(1, sum(int(n.sum()) for _, n in kind))
+        seen += [grams for grams, _ in kind]
+        weights += [n * (0.5 / total) for _, n in kind]
+    every, place = np.unique(np.concatenate(seen), return_inverse=True)
+    return every, np.bincount(place, np.concatenate(weights), minlength=len(every)).astype(np.float32)
 
 
 def train(texts: list[bytes], labels: list[int], bits: int = 18, dimensions: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 11) -> np.ndarray:

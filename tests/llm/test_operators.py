@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shapewright.llm import byte_bpe, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
+from shapewright.llm import byte_bpe, common, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
 from shapewright.llm.common import Scratch, hub_join, labelled_sample
 from shapewright.llm.components import connected_components
 
@@ -580,7 +580,8 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r["doc_id"] for r in ngram_join.one_of_each_class(same).collect()) == [2, 4]
 
 
-def test_hub_join(spark):
+def test_hub_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HUB", 0)
     left = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (3, 1), (None, 2)) for i in range(n)], "k int, i int")
     right = spark.createDataFrame([(1, "x", 500), (2, "y", 3), (4, "z", 0)], "k int, v string, n int")
     for how in ("inner", "left"):
@@ -588,7 +589,9 @@ def test_hub_join(spark):
         assert Counter(map(tuple, hub_join(left, right, "k", "n", 506, how, share=100).collect())) == want
 
 
-def test_components_of_hubs_and_chains(spark, tmp_path):
+@pytest.mark.parametrize("least", [0, 100_000])
+def test_components_of_hubs_and_chains(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "LEAST_HUB", least)
     rng = random.Random(3)
     edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(rng.randrange(6000, 6100), rng.randrange(6000, 6100)) for _ in range(80)] + [(7, 7), (None, 3)]
     root = {}
