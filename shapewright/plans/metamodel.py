@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .compiler import validate
 from .report import results
 
-# a property, the inverse of one, or a list that begins with one
-_PATH = "(IRI ∨ sh:inverse ∝ |=1| ∨ rdf:first ∝ (|=1| ∧ ¬ Literal))"
 # One statement for each kind of argument; every property of the vocabulary is under one of them.
 _ARGUMENTS = {
     "∈ {sh:Info sh:Warning sh:Violation}": ("severity",),
@@ -28,9 +26,8 @@ _ARGUMENTS = {
     "⦇ ¬ Literal ⦈": ("and", "or", "partition"),
     "⦇ (IRI ∨ sh:inverse ∝ (|=1| ∧ IRI)) ⦈": ("closed",),
     "(Literal → ^^xs:string)": ("pattern",),
-    # two paths, or a path and a shape
-    f"rdf:rest rdf:rest ∝ ∋ rdf:nil ∧ rdf:first ∝ {_PATH} ∧ rdf:rest rdf:first ∝ {_PATH}": ("equals", "disjoint", "lessThan", "lessThanOrEquals"),
-    f"rdf:rest rdf:rest ∝ ∋ rdf:nil ∧ rdf:first ∝ {_PATH} ∧ rdf:rest rdf:first ∝ ¬ Literal": ("propValues",),
+    # two paths, or a path and a shape, neither of which is a literal
+    "rdf:rest rdf:rest ∝ ∋ rdf:nil ∧ rdf:first ∝ ¬ Literal ∧ rdf:rest rdf:first ∝ ¬ Literal": ("equals", "disjoint", "lessThan", "lessThanOrEquals", "propValues"),
 }
 
 
