@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.terms import PREFIXES
 from .plans import ast as A
 from .plans.ast import Component, Shape
 from .plans.compiler import validate, validate_shape
@@ -14,7 +15,7 @@ from .plans.templates import REGISTRY, ComponentTemplate, ScopeTemplate
 from .sources.compact import parse_compact
 from .sources.graph import TripleGraph
 from .sources.relational import EX
-from .sources.shapes_graph import shapes_from_turtle, shapes_to_turtle
+from .sources.shapes_graph import shapes_from_turtle, shapes_to_turtle, templates_from_turtle
 from .sources.sparql import run_sparql
 
 PREFIX = {"": EX}
@@ -174,12 +175,11 @@ built("s_node", lambda: A.shape(FALSE).scoped(*[A.scope_node(A.Term(f"<{EX}custo
 built("s_class", lambda: A.shape(FALSE).scoped(A.scope_class(EX + "Party")), {"node": f"regexp_replace({local('this')}, '^(.)[a-z]*/', '$1')"}, "select 'c' || c_custkey as node from customer union all select 's' || s_suppkey from supplier", distinct=False)
 built("s_prop_object", lambda: A.shape(FALSE).scoped(A.scope_objects(EX + "l_orderkey")), key("l_orderkey", "order"), "select distinct l_orderkey from lineitem", distinct=False)
 built("s_prop_subject", lambda: A.shape(FALSE).scoped(A.scope_subjects(EX + "quality")), key("doc_id", "document"), "select distinct doc_id from labels", distinct=False)
-SMALL = ("r_name", "n_name", "n_regionkey")
-built("s_all_objects", lambda: A.shape(FALSE).scoped(A.ALL_OBJECTS), {"v": f"regexp_replace({local('this')}, '^region/', 'r')"}, "select 'Region' v union select 'Nation' union select r_name from region union select n_name from nation union select 'r' || n_regionkey from nation", distinct=False, only=SMALL)
-built("s_all_subjects", lambda: A.shape(FALSE).scoped(A.ALL_SUBJECTS), {"v": f"regexp_replace({local('this')}, '^(.)[a-z]*/', '$1')"}, "select 'r' || r_regionkey v from region union all select 'n' || n_nationkey from nation", distinct=False, only=SMALL)
-# the whole graph, each node once; no SQL, as the tests hold them against brute force
-built("s_all_objects_whole", lambda: A.shape(FALSE).scoped(A.ALL_OBJECTS), {"v": "this"}, "", distinct=False)
-built("s_all_subjects_whole", lambda: A.shape(FALSE).scoped(A.ALL_SUBJECTS), {"v": "this"}, "", distinct=False)
+# each node of the whole graph once; objects have no SQL, as it would have to write numbers and times as Spark does: tests hold them against brute force
+SUBJECTS = {"region": "region/' || r_regionkey", "nation": "nation/' || n_nationkey", "customer": "customer/' || c_custkey", "supplier": "supplier/' || s_suppkey", "part": "part/' || p_partkey", "orders": "order/' || o_orderkey", "events": "event/' || event_id", "documents": "document/' || doc_id", "labels": "document/' || doc_id", "conversations": "turn/' || conv_id || '-' || turn", "pages": "page/' || page_id", "benchmark": "item/' || item_id", "embeddings": "vec/' || vec_id"}
+LINES = " union ".join(f"select '<{EX}{kind}/' || l_orderkey || '-' || l_linenumber || '>' from lineitem" for kind in ("line", "cell"))
+built("s_all_objects", lambda: A.shape(FALSE).scoped(A.ALL_OBJECTS), {"v": "this"}, "", distinct=False)
+built("s_all_subjects", lambda: A.shape(FALSE).scoped(A.ALL_SUBJECTS), {"v": "this"}, "select v from (" + " union ".join(f"select '<{EX}{name} || '>' v from {table}" for table, name in SUBJECTS.items()) + f" union {LINES} union select '_:p' || event_id from events where props is not null) where v is not null", distinct=False)
 built("s_query", lambda: A.shape(FALSE).scoped(A.scope_query(f"select s as scope from {{p_c_nationkey}} where o = '<{EX}nation/3>'")), key("c_custkey", "customer"), "select c_custkey from customer where c_nationkey = 3", distinct=False)
 built("s_union", lambda: A.shape(FALSE).scoped(A.scope_class(EX + "Supplier"), A.scope_subjects(EX + "s_nationkey")), key("s_suppkey", "supplier"), "select s_suppkey from supplier", distinct=False)
 # --- filters, severity, several components ----------------------------------------------------------
@@ -272,6 +272,40 @@ built(
 )
 
 
+sparql("q_values", "SELECT ?c { VALUES (?n ?s) { (<http://example.org/nation/3> 'BUILDING') (<http://example.org/nation/5> UNDEF) } ?c :c_nationkey ?n ; :c_mktsegment ?s }", {"c_custkey": number("c", "customer")}, "select c_custkey from customer where c_nationkey = 3 and c_mktsegment = 'BUILDING' or c_nationkey = 5")
+sparql("q_subquery", "SELECT ?c ?n { { SELECT ?c (COUNT(?o) AS ?n) { ?o :o_custkey ?c } GROUP BY ?c } ?c :c_mktsegment 'BUILDING' }", {"c_custkey": number("c", "customer"), "n": COUNT}, "select o_custkey as c_custkey, count(distinct o_orderkey) n from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING' group by 1")
+sparql("q_path_alternative", "SELECT DISTINCT ?x { ?x :c_nationkey|:s_nationkey <http://example.org/nation/3> }", {"node": f"regexp_replace({local('x')}, '^(.)[a-z]*/', '$1')"}, "select 'c' || c_custkey as node from customer where c_nationkey = 3 union all select 's' || s_suppkey from supplier where s_nationkey = 3")
+sparql("q_path_closure", "SELECT ?x { ?x a/rdfs:subClassOf* :Party }", {"node": f"regexp_replace({local('x')}, '^(.)[a-z]*/', '$1')"}, ORACLES["s_class"])
+sparql("q_bound", "SELECT ?c { ?c :c_acctbal ?b OPTIONAL { ?o :o_custkey ?c ; :o_orderstatus 'F' } FILTER(!BOUND(?o)) }", {"c_custkey": number("c", "customer")}, ORACLES["c_has_value"])
+sparql("q_in", "SELECT ?o { ?o :o_orderstatus ?s FILTER(?s NOT IN ('O', 'F')) }", {"o_orderkey": number("o", "order")}, ORACLES["c_in"])
+sparql("q_bind", "SELECT ?p ?d { ?p :p_size ?s BIND(?s * 2 AS ?d) FILTER(?d > 90) }", {"p_partkey": number("p", "part"), "d": f"cast({lexical('d')} as double)"}, "select p_partkey, p_size * 2.0::double d from part where p_size * 2 > 90")
+sparql("q_functions", "SELECT ?c (CONCAT(?n, '-', ?s) AS ?x) { ?c :c_name ?n ; :c_mktsegment ?s FILTER(isLiteral(?s) && isIRI(?c) && STRLEN(STR(?s)) > 8 && REGEX(?n, '1$') && DATATYPE(?s) = <http://www.w3.org/2001/XMLSchema#string>) }", {"c_custkey": number("c", "customer"), "x": lexical("x")}, "select c_custkey, c_name || '-' || c_mktsegment x from customer where length(c_mktsegment) > 8 and regexp_matches(c_name, '1$')")
+
+# --- templates that are declared as data --------------------------------------------------------------
+DECLARED = f"""@prefix : <{EX}> . @prefix sh: <{PREFIXES["sh"]}> .
+:dearerThan a sh:ComponentTemplate ; sh:templatePattern "?this :o_totalprice ?price ." ; sh:templateFilter "?price <= [limit]" ; sh:propValues ( :limit [ a sh:Shape ; sh:argumentName "limit" ; sh:defaultValue 200000 ] ) .
+:moreThan a sh:ComponentTemplate ; sh:templatePattern "?this [p(path)] ?value ." ; sh:templateHaving "COUNT(DISTINCT ?value) > [most]" ; sh:propValues ( :along [ a sh:Shape ; sh:argumentName "path" ] ) ; sh:propValues ( :most [ a sh:Shape ; sh:argumentName "most" ] ) .
+:fromNation a sh:ScopeTemplate ; sh:templateQuery "SELECT ?scope WHERE {{ ?scope <{EX}c_nationkey> [argument] }}" .
+""".replace("?this :o_totalprice", f"?this <{EX}o_totalprice>")
+
+
+def declared(name: str, shape: str, columns: dict[str, str], sql: str) -> None:
+    """A query with templates and a shape that are written as Turtle."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        templates_from_turtle(DECLARED)
+        program = shapes_from_turtle(DECLARED.splitlines()[0] + shape)
+        return validate(TripleGraph.from_parquet(spark, folder), program, detail=False).selectExpr(*[f"{c} as {n}" for n, c in columns.items()]).distinct()
+
+    _register(name, sql, run)
+
+
+declared("t_declared_filter", ":s sh:scopeClass :Order ; :dearerThan [ ] .", key("o_orderkey", "order"), "select o_orderkey from orders where o_totalprice > 200000")
+declared("t_declared_having", ":s sh:scopeClass :Customer ; :moreThan [ :along [ sh:inverse :o_custkey ] ; :most 14 ] .", key("o_custkey", "customer"), ORACLES["t_component_having"])
+declared("t_declared_scope", ":s :fromNation <http://example.org/nation/3> ; sh:in ( ) .", key("c_custkey", "customer"), ORACLES["s_query"])
+declared("x_legacy", ":s sh:scope [ a sh:PropertyScope ; sh:predicate :l_partkey ] ; sh:property [ sh:predicate :p_size ; sh:maxInclusive 40 ] .", key("p_partkey", "part"), "select distinct p_partkey from part join lineitem on l_partkey = p_partkey where p_size > 40")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Every order has exactly one customer and a price of at least 0, that customer is known, and its lines ship in time."""
     program = """

@@ -24,10 +24,8 @@ def scope_nodes(graph: TripleGraph, scope: Scope) -> DataFrame:
             return graph.pred(arg, repeated=True).select(F.col("o").alias("this"))
         case "subject":
             return graph.pred(arg, repeated=True).select(F.col("s").alias("this"))
-        case "allObjects":
-            return union([graph.pred(p, repeated=True).select(F.col("o").alias("this")) for p in graph.predicates])
-        case "allSubjects":
-            return union([graph.pred(p, repeated=True).select(F.col("s").alias("this")) for p in graph.predicates])
+        case "allObjects" | "allSubjects":
+            return graph.holders(graph.predicates, inverse=scope.kind == "allObjects")
         case "query":
             return run_query(graph, arg).select(F.col("scope").alias("this"))
     if template := REGISTRY.scope(scope.kind):
