@@ -99,14 +99,13 @@ def ngram_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[floa
     # the last piece has no pair
     both = F.when(F.col("b").isNull(), F.array(slot("a"))).otherwise(F.array(slot("a"), slot(F.struct("a", "b"))))
 
-    def counted(texts: DataFrame, good: int) -> DataFrame:
-        rows = texts.select(_pieces_of(F.col("text")).alias("_pieces")).select(F.inline(F.arrays_zip(pieces.alias("a"), _tail(pieces, 1).alias("b"))))
-        return rows.select(F.explode(both).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).withColumn("good", F.lit(good))
-
-    # the ids grow with the input, so they are dealt with the texts and not broadcast
-    of_trusted = docs.select("doc_id", "text").join(trusted.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    grams = counted(docs, 0).unionByName(counted(of_trusted, 1))
-    rows = grams.groupBy("bucket").agg(F.sum(F.when(F.col("good") == 0, F.col("n")).otherwise(0)).alias("raw"), F.sum(F.col("n") * F.col("good")).alias("good")).collect()
+    # the ids grow with the input, so they are dealt with the texts and not broadcast; null ids meet nothing
+    texts = docs.select("doc_id", "text")
+    good = trusted.select("doc_id").distinct().withColumn("good", F.lit(1)).hint("shuffle_hash")
+    marked = texts.where("doc_id is not null").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
+    marked = marked.unionByName(texts.where("doc_id is null").select("text", F.lit(0).alias("good")))
+    rows = marked.select("good", _pieces_of(F.col("text")).alias("_pieces")).select("good", F.inline(F.arrays_zip(pieces.alias("a"), _tail(pieces, 1).alias("b"))))
+    rows = rows.select("good", F.explode(both).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).collect()
     n_raw, n_good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
     ratios = [0.0] * buckets
     for r in rows:
