@@ -27,6 +27,21 @@ AT_ONCE = 1 << 18
 _CODERS: dict = {}
 
 
+class _Memo(dict):
+    """Pieces and their ids; a piece that isn't known yet is encoded, and remembered unless it is long."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(self.encode(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ByteBPE:
     """A coder for a rank table (token bytes -> rank) and a pattern that cuts texts into pieces."""
 
@@ -41,8 +56,16 @@ class ByteBPE:
             made, halves = self._merged(token)
             if made:
                 self.halves[rank] = halves
-                self.trie.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.memo: dict[str, tuple[int, ...]] = {}
+        # every beginning of a token leads to the longest token that it begins with itself
+        words = {self.bytes_of[rank].decode("latin-1"): (rank, len(self.bytes_of[rank])) for rank in self.halves}
+        for word in words:
+            for n in range(1, len(word) + 1):
+                if word[:n] not in self.trie:
+                    self.trie.add_word(word[:n], words.get(word[:n]) or (self.trie.get(word[: n - 1]) if n > 1 else None))
+        #: the longest other token that a token begins with: the next to be tried at a place
+        self.shorter = {rank: self.trie.get(word[:-1]) if len(word) > 1 else None for word, (rank, _) in words.items()}
+        self.most = max(map(len, ranks), default=0)
+        self.memo = _Memo(self.encode_piece)
         self.beside: dict[tuple[int, int], bool] = {}
         self.joined = {v: k for k, v in self.halves.items() if v}
 
@@ -101,45 +124,40 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         text, size = piece.decode("latin-1"), len(piece)
-        neighbours = self.neighbours
+        beside, neighbours, shorter, longest = self.beside, self.neighbours, self.shorter, self._longest
         open_at = bytearray(b"\x01") * (size + 1)
         ids: list[int] = []
         at = 0
-        token = self._longest(text, at, size)
+        token = longest(text, at)
         while True:
             if token is None:  # no token is left for this place: give up the one before it
                 open_at[at] = 0
                 last = ids.pop()
-                width = len(self.bytes_of[last])
-                at -= width
-                token = self._longest(text, at, at + width - 1)
+                at -= len(self.bytes_of[last])
+                token = shorter[last]
                 continue
             rank, width = token
-            if open_at[at + width] and (not ids or neighbours(ids[-1], rank)):
-                ids.append(rank)
-                at += width
-                if at == size:
-                    return ids
-                token = self._longest(text, at, size)
-            else:
-                token = self._longest(text, at, at + width - 1)
-
-    def _longest(self, text: str, start: int, end: int) -> tuple[int, int] | None:
-        """The longest token that begins at start and doesn't reach beyond end."""
-        if end <= start:
-            return None
-        part = text[start : min(end, start + self.most)]
+            if open_at[at + width]:
+                fits = True
+                if ids:
+                    fits = beside.get((ids[-1], rank))
+                    if fits is None:
+                        fits = neighbours(ids[-1], rank)
+                if fits:
+                    ids.append(rank)
+                    at += width
+                    if at == size:
+                        return ids
+                    token = longest(text, at)
+                    continue
+            token = shorter[rank]
+
+    def _longest(self, text: str, start: int) -> tuple[int, int] | None:
+        """The longest token that begins at start."""
+        part = text[start : start + self.most]
         n = self.trie.longest_prefix(part)
-        while n and part[:n] not in self.trie:  # the prefix leads to longer tokens only
-            n -= 1
         return self.trie.get(part[:n]) if n else None
 
-    @property
-    def most(self) -> int:
-        if not hasattr(self, "_most"):
-            self._most = max(map(len, self.ranks), default=0)
-        return self._most
-
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.encode_parts(text)))
 
@@ -153,17 +171,7 @@ class ByteBPE:
             yield self._encode_pieces(pieces)
 
     def _encode_pieces(self, pieces: list[str]) -> list[int]:
-        memo = self.memo
-        if len(memo) > REMEMBERED:
-            memo.clear()
-        new = set(pieces).difference(memo)
-        for p in new:
-            memo[p] = tuple(self.encode_piece(p.encode("utf-8", "surrogatepass")))
-        ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
-        for p in new:  # what is long doesn't come often
-            if len(p) > LONGEST_REMEMBERED:
-                del memo[p]
-        return ids
+        return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
