@@ -10,11 +10,12 @@ from .plans.compiler import validate, validate_shape
 from .plans.report import conforming, details, results, summary
 from .plans.templates import REGISTRY, ComponentTemplate, ScopeTemplate
 from .sources.compact import parse_compact
+from .sources.dataset import Dataset
 from .sources.graph import TripleGraph
 from .sources.shapes_graph import shapes_from_turtle, shapes_to_turtle, templates_from_turtle
 from .sources.sparql import run_sparql
 
-__all__ = ["REGISTRY", "ComponentTemplate", "ScopeTemplate", "TripleGraph", "conforming", "details", "load_graph", "load_shapes", "parse_compact", "results", "run_sparql", "shapes_from_turtle", "shapes_to_turtle", "summary", "templates_from_turtle", "validate", "validate_shape"]
+__all__ = ["REGISTRY", "ComponentTemplate", "Dataset", "ScopeTemplate", "TripleGraph", "conforming", "details", "load_graph", "load_shapes", "parse_compact", "results", "run_sparql", "shapes_from_turtle", "shapes_to_turtle", "summary", "templates_from_turtle", "validate", "validate_shape"]
 
 
 def load_graph(spark: SparkSession, location: str) -> TripleGraph:

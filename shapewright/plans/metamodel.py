@@ -30,13 +30,18 @@ _ARGUMENTS = {
     "rdf:rest rdf:rest ∝ ∋ rdf:nil ∧ rdf:first ∝ ¬ Literal ∧ rdf:rest rdf:first ∝ ¬ Literal": ("equals", "disjoint", "lessThan", "lessThanOrEquals", "propValues"),
 }
 
+# Fields that a result has at most once.
+_RESULT_FIELDS = ("focusNode", "subject", "predicate", "object", "sourceConstraint", "sourceShape", "sourceTemplate")
+
 
 def program() -> str:
     """The program in the compact syntax: the objects of each property have the form of its argument."""
     lines = [f"sh:{name}Argument ≡ sh:{name}² ⊩ {form} ." for form, names in _ARGUMENTS.items() for name in names]
     once = [f"sh:{name}Once ≡ ¹sh:{name} ⊩ sh:{name} ∝ |≤1| ." for name in ("severity", "order", "group", "defaultValue", "argumentName", "templateFilter", "templatePattern", "templateHaving", "templateQuery")]
     once += [f"sh:{name}Once ≡ ¹sh:{name} ⊩ sh:{name} ∝ ➀ ." for name in ("name", "description", "templateMessage")]
-    return "\n".join([*lines, *once])
+    fields = [f"sh:{name}Result ≡ ∈ sh:ValidationResult ⊩ sh:{name} ∝ |≤1| ." for name in _RESULT_FIELDS]
+    fields.append("sh:messageResult ≡ ∈ sh:ValidationResult ⊩ sh:message ∝ (Literal ∧ ^^xs:string ∪ rdf:langString) .")
+    return "\n".join([*lines, *once, *fields])
 
 
 def check_shapes_graph(spark: SparkSession, turtle: str, templates: str = "") -> DataFrame:
@@ -51,6 +56,6 @@ def check_shapes_graph(spark: SparkSession, turtle: str, templates: str = "") ->
     graph = TripleGraph.from_turtle(spark, turtle)
     # only the shapes whose property occurs can have results
     used = {p.rsplit("#", 1)[-1] for p in graph.predicates}
-    shapes = [s for s in parse_compact(program()) if s.id.rsplit("#", 1)[-1].removesuffix("Argument").removesuffix("Once") in used]
+    shapes = [s for s in parse_compact(program()) if s.id.rsplit("#", 1)[-1].removesuffix("Argument").removesuffix("Once").removesuffix("Result") in used]
     shapes += argument_shapes(templates) if templates else []
     return results(validate(graph, shapes, detail=False))
