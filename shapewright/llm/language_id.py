@@ -108,7 +108,8 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], dimens
     """docs (with text) plus lang_pred and score; its other columns pass through, but for these two names.
 
     Null texts, texts without a letter and all texts if there are no prototypes get 'und' and 0.0.
-    Ties go to the language first in the alphabet. The score is the softmax of the cosines.
+    Ties go to the language first in the alphabet. The score is the softmax of the cosines. Repeated rows are
+    judged alike, very long texts whole, null ids as others; an empty table gives no rows.
     """
     docs = docs.drop("lang_pred", "score")
     names, matrix = list(prototypes), np.stack(list(prototypes.values())) if prototypes else np.zeros((0, dimensions), np.float32)

@@ -199,6 +199,56 @@ def test_language(spark):
     assert np.array_equal(language_id.bundle(grams, counts, 64, 3), one)
 
 
+def test_language_against_a_slow_version(spark, tmp_path):
+    """The whole query with nulls, repeats, a long text, ties and clashing columns, each trigram bound by itself."""
+    rng = random.Random(5)
+    parts = {"de": ["sch", "ü", "ung"], "fr": ["é", "que", "eau"], "xx": ["漢", "字", "z"]}
+    make = lambda lang, n=12: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) + rng.choice(["", "!", " 1"]) for _ in range(n))
+    rows = [(i, make(lang), lang) for i, lang in enumerate(list(parts) * 12)]
+    rows += [(50, None, "fr"), (51, "12 .", "de"), (52, "", None), (53, make("fr"), None), (54, make("de", 20_000), "de"), (None, make("xx"), "xx"), rows[4], rows[4]]
+    rows = [(*r, "clash", -1.0) for r in rows]
+    schema = "doc_id long, text string, lang string, lang_pred string, score double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    letters = language_id.bound_pairs(256, 7)[1].astype(np.int64)
+
+    def vector(text):
+        code, table = [0], language_id.letter_slots()
+        for ch in text:
+            if (slot := int(table[ord(ch)])) or code[-1]:
+                code.append(slot)
+        if len(code) == 1:
+            return None
+        code.append(0)
+        grams = Counter(zip(code, code[1:], code[2:], strict=False))
+        v = sum(n * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for (a, b, c), n in grams.items())
+        return v / np.linalg.norm(v)
+
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2
+    sums = {}
+    for i, text, lang, *_ in rows:
+        if not held(i) and text is not None and lang is not None and (v := vector(text)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    prototypes = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items())}
+    got = language_id.op3_language_id(spark, str(tmp_path), dimensions=256, seed=7)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    want = []
+    for i, text, *_ in rows:
+        v = vector(text or "")
+        cosines = [] if v is None else [float(p @ v) for p in prototypes.values()]
+        best = max(cosines, default=0)
+        want.append((i, held(i), list(prototypes)[cosines.index(best)] if cosines else "und", 1 / sum(np.exp(40 * (c - best)) for c in cosines) if cosines else 0.0))
+    order = lambda r: (r[0] is None, r[0] or 0)
+    found = sorted(map(tuple, got.collect()), key=order)
+    want.sort(key=order)
+    assert [r[:3] for r in found] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in found], [r[3] for r in want], atol=1e-3)
+    # equal prototypes: the first in the alphabet
+    same = language_id.identify_language(spark.createDataFrame(rows[:1], schema), {"a": prototypes["de"], "b": prototypes["de"]}, 256, 7).collect()
+    assert [(r["lang_pred"], round(r["score"], 6)) for r in same] == [("a", 0.5)]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert language_id.op3_language_id(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_toxicity():
     rng = random.Random(3)
     clean = [" ".join("".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(3)) for _ in range(40)) for _ in range(300)]
